@@ -1,0 +1,17 @@
+"""The queries of this library, by name."""
+
+from __future__ import annotations
+
+from biblioflow.plans import trailing
+
+MODULES = (trailing,)
+
+
+def queries() -> dict:
+    """name -> callable (spark, sf_dir) -> DataFrame"""
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    """name -> SQL with the same result, where SQL can express it"""
+    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
