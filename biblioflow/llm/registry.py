@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from biblioflow.llm import visible_queries
+
+MODULES = (visible_queries,)
 
 
 def queries() -> dict:
