@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,42 +62,64 @@ def segments(text: str | None) -> list[str]:
     return found
 
 
-def cleaned(labelled: dict[str, list[str]], rounds: int = 4) -> dict[str, list[str]]:
-    """Distinct sentences by the language they are in, from sentences by a label that is often wrong.
+def cleaned(labelled: dict[str, list[list[str]]], rounds: int = 4) -> dict[str, list[str]]:
+    """Distinct sentences by the language they are in, from texts (their sentences) by a label that is often wrong.
 
     Wrong labels scatter over the languages, so the words of each language still go with its own label most. Each
-    sentence goes to the label whose share of its words is largest, then the shares are taken anew.
+    sentence goes to the label whose share of its words is largest, its own count aside; then the shares are taken
+    anew. A sentence that stands under several labels (a notice that goes with any book) is judged at the end: by
+    the letters of the others, as the texts that it stands in are.
     """
     labels = sorted(labelled)
-    pool = [(s, k, set(LETTERS.findall(s.lower()))) for k, label in enumerate(labels) for s in dict.fromkeys(labelled[label])]
-    owner = [k for _, k, _ in pool]
+    under: dict[str, np.ndarray] = {}
+    for k, label in enumerate(labels):
+        for s in (s for text in labelled[label] for s in text):
+            under.setdefault(s, np.zeros(len(labels)))[k] += 1
+    pool = sorted(under, key=lambda s: (zlib.crc32(s.encode()), s))
+    words = [sorted(set(LETTERS.findall(s.lower()))) for s in pool]
+    first = np.array([under[s] / under[s].sum() for s in pool]).reshape(-1, len(labels))
+    weight = first
     for _ in range(rounds):
-        counts: dict[str, list[float]] = defaultdict(lambda: [0.5] * len(labels))
-        size = Counter(owner)
-        for (_, _, words), k in zip(pool, owner, strict=True):
-            for w in words:
-                counts[w][k] += 1
-        size_log = [math.log(size[k] + 1) for k in range(len(labels))]
-        best = []
-        for _, _, words in pool:
-            score = [sum(math.log(counts[w][k]) for w in words) - len(words) * size_log[k] for k in range(len(labels))]
-            best.append(max(range(len(labels)), key=score.__getitem__))
-        if best == owner:
+        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(labels)))
+        size = weight.sum(axis=0) + 1
+        for w, own in zip(words, weight, strict=True):
+            for x in w:
+                counts[x] += own
+        after = np.zeros_like(weight)
+        for row, (w, own) in enumerate(zip(words, weight, strict=True)):
+            others = [c for x in w if (c := counts[x] - own).sum() > 0.5]
+            score = np.log((np.array(others) + 0.5 * size / size.sum()) / size).sum(axis=0) if others else first[row]
+            after[row, score.argmax()] = 1
+        if (after == weight).all():
             break
-        owner = best
-    out: dict[str, dict[str, None]] = {label: {} for label in labels}
-    for (s, _, _), k in zip(pool, owner, strict=True):
-        out[labels[k]][s] = None
-    return {label: sorted(v, key=lambda s: (zlib.crc32(s.encode()), s)) for label, v in out.items()}
-
-
-def training_text(labelled: dict[str, list[str]]) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        weight = after
+    owner = weight.argmax(axis=1)
+    several = (first > 0).sum(axis=1) > 2
+    sure = {label: [s for s, k, x in zip(pool, owner, several, strict=True) if labels[k] == label and not x] for label in labels}
+    rest = {s for s, x in zip(pool, several, strict=True) if x}
+    texts = [t for label in labels for t in labelled[label] if not rest.isdisjoint(t)]
+    if texts and all(sure.values()):
+        parser = CrossParser({label: take(v, TRAIN_CHARS) for label, v in sure.items()})
+        bits, lengths = parser.phrases([s for t in texts for s in t])
+        bits = bits * lengths[:, None]
+        votes, at = defaultdict(lambda: np.zeros(len(labels))), 0
+        for t in texts:
+            best, _ = decide(bits[at : at + len(t)], parser.bits, slack=4)
+            at += len(t)
+            for s, k in zip(t, best, strict=True):
+                votes[s][k] += s in rest
+        for s in sorted(rest):
+            sure[labels[votes[s].argmax()]].insert(0, s)
+    return sure
+
+
+def take(sentences: list[str], chars: int) -> list[str]:
+    """The first sentences that make up `chars` characters."""
+    return sentences[: int(np.searchsorted(np.cumsum([len(s) for s in sentences]), chars)) + 1]
+
+
+def training_text(labelled: dict[str, list[list[str]]]) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """At most TRAIN_CHARS of sentences per language: some at random, then those that these explain worst."""
-
-    def take(sentences: list[str], chars: int) -> list[str]:
-        sizes = np.cumsum([len(s) for s in sentences])
-        return sentences[: int(np.searchsorted(sizes, chars)) + 1]
-
     pools = cleaned(labelled)
     first = {label: take(pool, TRAIN_CHARS * 2 // 5) for label, pool in pools.items()}
     parser = CrossParser(first)
@@ -120,21 +141,21 @@ def fit(texts: DataFrame, text: str, label: str) -> tuple[tuple[str, tuple[str,
     share = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, 1.2 * SAMPLE / n))))
     chance = F.pmod(F.xxhash64("__t", F.lit(17)), F.lit(1_000_000)) / 1_000_000
     rows = known.where(chance < share[F.col("__c")]).distinct().orderBy(F.xxhash64("__t"), "__t", "__c").limit(2 * SAMPLE * len(NAMES)).collect()
-    labelled: dict[str, list[str]] = defaultdict(list)
+    labelled: dict[str, list[list[str]]] = defaultdict(list)
     for r in rows:
-        labelled[r["__c"]] += segments(r["__t"])
+        labelled[r["__c"]].append(segments(r["__t"]))
     return training_text(labelled)
 
 
-def decide(bits: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decide(bits: np.ndarray, phrase: np.ndarray, slack: float = 1.05) -> tuple[np.ndarray, np.ndarray]:
     """Language of each segment of one text, and its probability, from the bits it takes in each language.
 
-    Between languages no further apart than one phrase, the one that the whole text takes fewest bits in holds.
+    Between languages no further apart than one phrase (`slack`), the one that the whole text takes fewest bits in holds.
     """
     whole = bits.sum(axis=0)
     best = bits.argmin(axis=1)
     main = int(whole.argmin())
-    near = bits[:, main] - bits.min(axis=1) <= phrase[main] * 1.05
+    near = bits[:, main] - bits.min(axis=1) <= phrase[main] * slack
     best = np.where(near, main, best)
     # Phrases aren't independent evidence: a quarter of their bits counts, and the whole text weighs in for ties.
     odds = np.exp2(-np.minimum((bits - bits.min(axis=1, keepdims=True)) / 4, 60)) * np.exp2(-np.minimum((whole - whole.min()) / 16, 2))
