@@ -12,25 +12,27 @@ TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.DOTALL)
 MARK = re.compile(r"[̀-ͯ]+")
 WORD = re.compile(r"[^\W_]+")
 # How the bytes of UTF-8 show when they were read as Windows-1252.
-MOJIBAKE = re.compile(r"[ÃÂâ][-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+TAIL = r"[\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"
+MOJIBAKE = re.compile(f"[\u00c2-\u00c5]{TAIL}|\u00e2{TAIL}{TAIL}")
 
 
-def mended(text: str) -> str:
-    """`text` with UTF-8 that was read as Windows-1252 put right, where that is possible."""
-    if not MOJIBAKE.search(text):
-        return text
-    raw = bytearray()
-    for ch in text:
-        try:
-            raw += ch.encode("cp1252")
-        except UnicodeEncodeError:
-            if ord(ch) > 255:
-                return text
-            raw.append(ord(ch))
+def _byte(ch: str) -> int:
+    try:
+        return ch.encode("cp1252")[0]
+    except UnicodeEncodeError:
+        return ord(ch)
+
+
+def _mend(found: re.Match) -> str:
     try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return text
+        return bytes(map(_byte, found[0])).decode("utf-8")
+    except (UnicodeDecodeError, ValueError):
+        return found[0]
+
+
+def mended(text: str) -> str:
+    """`text` with UTF-8 that was read as Windows-1252 put right, wherever it occurs."""
+    return MOJIBAKE.sub(_mend, text)
 
 
 def plain(text: str) -> str:
