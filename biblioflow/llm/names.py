@@ -117,13 +117,16 @@ def parse(name: str | None, families: frozenset[str] = frozenset()) -> Name | No
     every = [t for side in sides for t, _, _ in side]
     if not every or all(t in NOBODY or t.isdigit() for t in every):
         return None
+    if len(every) > 2 and every[:2] == ["u", "de"]:
+        every[0] = "universidad"
     kinds = [k for t in every if len(t) >= 3 and t not in IDLE and (k := _kind(t))]
     if kinds and known_given(every[0]) is None:
         own = [t for t in every if t not in ORG_IDLE and len(t) > 2 and not _kind(t)]
         rest = [t for t in own if not any(w.startswith(t) or len(t) > 4 and ratio(w, t) >= 0.85 for w in ("lectores", "lectura", "reading", "estudios", "narrativos"))]
         if rest or own:
             return Name(max(rest or own, key=len), kinds[0], "", "", True)
-    sides = [[x for x in side if x[0] not in IDLE or len(x[0]) == 1] for side in sides]
+    # A single capital or dotted letter is an initial, a small "y" or "e" joins.
+    sides = [[x for x in side if x[0] not in IDLE or len(x[0]) == 1 and (x[2] or x[1].isupper())] for side in sides]
     if len(sides) == 2 and sides[1]:
         left, right = sides
         # "Given, Surname" also occurs: then only the left side holds given names.
@@ -161,13 +164,19 @@ def parse(name: str | None, families: frozenset[str] = frozenset()) -> Name | No
         if kind[k] == "i" and len(t) == 2 and k < at:
             firsts += list(t)
         elif kind[k] == "g" or kind[k] == "i" and (k < at or not firsts) or kind[k] == "r" and k < at:
-            firsts.append(t if kind[k] == "i" else known_given(t) or t)
+            # "Vic." is the beginning of a name, "Vic" a short form of one.
+            firsts.append(t if kind[k] == "i" or order[k][2] and len(t) <= 4 and t not in GIVEN else known_given(t) or t)
         elif not second:
             near = max(((ratio(f, t), f) for f in families if abs(len(f) - len(t)) <= 2), default=(0, t)) if kind[k] == "r" else (1, t)
             second = near[1] if near[0] >= 0.8 else t
     return Name(order[at][0], firsts[0] if firsts else "", firsts[1] if len(firsts) > 1 else "", second, False)
 
 
+def is_weak(n: Name) -> bool:
+    """Whether the given name is only an initial or a beginning, which several given names share."""
+    return not n.organisation and bool(n.given) and len(n.given) <= 4 and n.given not in GIVEN
+
+
 def part_agrees(a: str, b: str) -> bool:
     """Equal parts, one missing, or one the initial or beginning of the other."""
     return not a or not b or a == b or a.startswith(b) and (len(b) <= 4) or b.startswith(a) and (len(a) <= 4)
