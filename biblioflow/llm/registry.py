@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from biblioflow.llm import languages_queries, leaks_queries, mixing_queries, survivors_queries, variants_queries, visible_queries
+from biblioflow.llm import languages_queries, leaks_queries, linkage_queries, mixing_queries, survivors_queries, variants_queries, visible_queries
 
-MODULES = (languages_queries, leaks_queries, mixing_queries, survivors_queries, variants_queries, visible_queries)
+MODULES = (languages_queries, leaks_queries, linkage_queries, mixing_queries, survivors_queries, variants_queries, visible_queries)
 
 
 def queries() -> dict:
