@@ -100,12 +100,17 @@ def reconciled_details(days: DataFrame, entity: list[str], order: list[str], mos
 
 
 def snapshot_json(days: DataFrame, generated_at: Column) -> DataFrame:
-    """One JSON document per `reader_id` of its days by (date, book); absent values are left out."""
+    """One JSON document per `reader_id` of its days by (date, book); absent values are left out.
+
+    A document holds MOST_DAYS days at most, so no larger group is gathered: a reader with more has a null body.
+    """
+    counts = days.groupBy("reader_id").agg(F.count(F.lit(1)).alias("records"))
+    days = days.join(counts.where(F.col("records") > MOST_DAYS).select("reader_id"), "reader_id", "left_anti")
     record = F.struct("date", F.collate("book", "UNICODE").alias("__sort"), "book", "title", "author", "reading_seconds", "sessions", *SECONDS)
-    lists = days.groupBy("reader_id").agg(F.array_sort(F.collect_list(record)).alias("d"), F.count(F.lit(1)).alias("records"))
+    lists = days.groupBy("reader_id").agg(F.array_sort(F.collect_list(record)).alias("d"))
     plain = F.transform("d", lambda x: F.struct(x["book"].alias("book"), x["title"].alias("title"), x["author"].alias("author"), x["date"].alias("date"), *(x[n].alias(n) for n in ("reading_seconds", "sessions", *SECONDS))))
     body = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("kindle").alias("device"), generated_at.alias("generated_at"), plain.alias("days")))
-    return lists.select("reader_id", "records", body.alias("body"))
+    return counts.join(lists.select("reader_id", body.alias("body")), "reader_id", "left").select("reader_id", "records", "body")
 
 
 def parsed_bodies(bodies: DataFrame, body: str, schema: str) -> DataFrame:

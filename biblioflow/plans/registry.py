@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from biblioflow.plans import trailing
+from biblioflow.plans import catalogue, statistics, trailing
 
-MODULES = (trailing,)
+MODULES = (catalogue, statistics, trailing)
 
 
 def queries() -> dict:
