@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from biblioflow.functions.text import clean_text, trim_all
+from biblioflow.functions.text import bind, clean_text, trim_all
 
 # Hours at which the morning, the afternoon and the night begin.
 MORNING, AFTERNOON, NIGHT = 6, 13, 21
@@ -25,28 +25,33 @@ def local_date(seconds: Column) -> Column:
 
 def plausible_publication_date(c: Column, year: int) -> Column:
     """Whether a text is a year, a month or an existing day from the year 1000 to two years after `year`, without a time."""
-    text = trim_all(F.coalesce(c, F.lit("")))
-    y = F.substring(text, 1, 4).try_cast("int")
-    m = F.coalesce(F.substring(text, 6, 2).try_cast("int"), F.lit(1))
-    d = F.coalesce(F.substring(text, 9, 2).try_cast("int"), F.lit(1))
-    last = F.dayofmonth(F.last_day(F.try_make_date(y, F.when(m.between(1, 12), m), F.lit(1)))) if hasattr(F, "try_make_date") else F.dayofmonth(F.last_day(F.try_to_date(F.format_string("%04d-%02d-01", y, F.when(m.between(1, 12), m)), "yyyy-MM-dd")))
-    ok = text.rlike(r"\A\d{4}(-\d{2}(-\d{2})?)?\z") & y.between(1000, year + 2) & m.between(1, 12) & (d >= 1) & (d <= last)
-    return F.coalesce(ok, F.lit(False))
+    def parts(text: Column) -> Column:
+        number = lambda at, n: F.substring(text, at, n).try_cast("int")
+        return F.when(text.rlike(r"\A\d{4}(-\d{2}(-\d{2})?)?\z"), F.struct(number(1, 4).alias("y"), F.coalesce(number(6, 2), F.lit(1)).alias("m"), F.coalesce(number(9, 2), F.lit(1)).alias("d")))
+
+    def possible(p: Column) -> Column:
+        first = F.try_to_date(F.format_string("%04d-%02d-01", p["y"], F.when(p["m"].between(1, 12), p["m"])), "yyyy-MM-dd")
+        return p["y"].between(1000, year + 2) & p["m"].between(1, 12) & p["d"].between(1, F.dayofmonth(F.last_day(first)))
+
+    return F.coalesce(bind(bind(trim_all(F.coalesce(c, F.lit(""))), parts), possible), F.lit(False))
 
 
 def normalize_publication_date(c: Column, year: int) -> Column:
     """A publication date as year, year-month or day: kept if it is one and plausible, else read from one of the
     written-out forms, else the first year from 1000 to 2099 in the text. `year` is the current one."""
-    text = clean_text(c)
-    strict = text.rlike(r"\A\d{4}(-\d{2}(-\d{2})?|\d{2})?\z") & text.rlike(r"\A\d{4}(-\d{2})?(-\d{2})?\z")
-    full = F.coalesce(*(F.try_to_date(text, f) for f in WRITTEN), F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}T"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")))
-    iso = F.date_format(full, "yyyy-MM-dd")
-    first = F.regexp_extract(text, r"(?<![0-9A-Za-z_])(1\d{3}|20\d{2})(?![0-9A-Za-z_])", 1)
-    return (
-        F.when(strict, F.when(plausible_publication_date(text, year), text))
-        .when(plausible_publication_date(iso, year), iso)
-        .when(plausible_publication_date(first, year), first)
-    )
+
+    def full(text: Column) -> Column:
+        day = F.coalesce(*(F.try_to_date(text, f) for f in WRITTEN), F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}T"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")))
+        return F.date_format(day, "yyyy-MM-dd")
+
+    def first_year(text: Column) -> Column:
+        return F.regexp_extract(text, r"(?<![0-9A-Za-z_])(1\d{3}|20\d{2})(?![0-9A-Za-z_])", 1)
+
+    def kept(found: Column) -> Column:
+        return bind(found, lambda d: F.when(plausible_publication_date(d, year), d))
+
+    strict = r"\A\d{4}(-\d{2})?(-\d{2})?\z"
+    return bind(clean_text(c), lambda text: F.when(text.rlike(strict), kept(text)).otherwise(F.coalesce(kept(full(text)), kept(first_year(text)))))
 
 
 def epoch_millis_date(c: Column) -> Column:

@@ -6,6 +6,7 @@ Null in gives null out unless a docstring says otherwise; empty text counts as a
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ SPANISH_EDITIONS = r"(?:en\s+)?(?:espa[nñ]ol(?:a)?|ingl[eé]s)|est[aá]ndar|esp
 SPACE = r"[\s\x0b\u0085   -     　﻿]"  # of the pattern \s, as other engines have it
 
 
+def bind(c: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(c)`, with `c` evaluated once however often `use` mentions it; keeps plans of nested expressions small."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def trim_all(c: Column) -> Column:
     """`c` without blanks of any kind at either end (trim() takes spaces only)."""
     return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
@@ -104,31 +110,48 @@ def is_meaningful(c: Column) -> Column:
     return (n != "") & ~n.isin(BAD_VALUES)
 
 
+def _useful(normal: Column) -> Column:
+    return F.filter(F.split(normal, " "), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+
+
 def useful_words(c: Column) -> Column:
     """The words of the normal form with two letters or more that aren't stop words, in order."""
-    return F.filter(F.split(normalize_text(c), " "), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+    return _useful(normalize_text(c))
+
+
+def _similarity(a: Column, b: Column, near: Callable[[Column, Column], list[tuple[Column, float]]]) -> Column:
+    """0 if a normal form is empty, 1 if both are equal, the first value of `near` that applies, else the shared part
+    of the useful words (0 if one has none)."""
+
+    def shared(p: Column) -> Column:
+        u, v = p["u"], p["v"]
+        return F.when((F.size(u) == 0) | (F.size(v) == 0), 0.0).otherwise(F.size(F.array_intersect(u, v)) / F.size(F.array_union(u, v)))
+
+    def of(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        out = F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0)
+        for applies, value in near(x, y):
+            out = out.when(applies, value)
+        words = F.struct(F.array_distinct(_useful(x)).alias("u"), F.array_distinct(_useful(y)).alias("v"))
+        return out.otherwise(bind(words, shared))
+
+    return bind(F.struct(normalize_text(a).alias("x"), normalize_text(b).alias("y")), of)
 
 
 def word_similarity(a: Column, b: Column) -> Column:
     """Shared part of the useful words: 1 for equal normal forms, 0 if one is empty or has no useful word."""
-    x, y = normalize_text(a), normalize_text(b)
-    u, v = F.array_distinct(useful_words(a)), F.array_distinct(useful_words(b))
-    shared = F.size(F.array_intersect(u, v)) / F.size(F.array_union(u, v))
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when((F.size(u) == 0) | (F.size(v) == 0), 0.0).otherwise(shared)
+    return _similarity(a, b, lambda x, y: [])
 
 
 def title_similarity(a: Column, b: Column) -> Column:
     """As `word_similarity`, and 0.92 if one of two titles of eight letters or more contains the other."""
-    x, y = normalize_text(a), normalize_text(b)
-    inside = (F.length(x) >= 8) & (F.length(y) >= 8) & (F.contains(x, y) | F.contains(y, x))
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(inside, 0.92).otherwise(word_similarity(a, b))
+    return _similarity(a, b, lambda x, y: [((F.length(x) >= 8) & (F.length(y) >= 8) & (F.contains(x, y) | F.contains(y, x)), 0.92)])
 
 
 def author_similarity(a: Column, b: Column) -> Column:
     """As `word_similarity`, and 0.9 if one contains the other, 0.78 if their last words are equal."""
-    x, y = normalize_text(a), normalize_text(b)
-    last = F.element_at(F.split(x, " "), -1) == F.element_at(F.split(y, " "), -1)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.9).when(last, 0.78).otherwise(word_similarity(x, y))
+    last = lambda x: F.element_at(F.split(x, " "), -1)
+    return _similarity(a, b, lambda x, y: [(F.contains(x, y) | F.contains(y, x), 0.9), (last(x) == last(y), 0.78)])
 
 
 def clean_stats_text(c: Column, fallback: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from biblioflow.plans import catalogue, statistics, trailing
+from biblioflow.plans import catalogue, statistics, texts, trailing
 
-MODULES = (catalogue, statistics, trailing)
+MODULES = (catalogue, statistics, texts, trailing)
 
 
 def queries() -> dict:
