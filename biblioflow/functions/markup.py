@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from biblioflow.functions.dates import normalize_publication_date
 from biblioflow.functions.isbn import normalize_isbn
@@ -75,7 +76,7 @@ def package_metadata(opf: Column, year: int) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def numeric_entities(s: pd.Series) -> pd.Series:
     """Numeric character references replaced by their characters; those of no character stay."""
 
