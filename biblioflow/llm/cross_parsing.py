@@ -113,11 +113,12 @@ class CrossParser:
                 nxt = self.flat[state[:m] * SIZE + c]
                 ended = nxt < 0
                 if ended.any():
-                    count[:m] += ended
+                    # The phrase so far ends; the symbol begins the next one, or is one by itself if it is unknown.
                     fresh = self.flat[self.roots * SIZE + c]
+                    count[:m] += (ended & (state[:m] != self.roots)).astype(np.int32) + (ended & (fresh < 0))
                     nxt = np.where(ended, np.where(fresh < 0, self.roots, fresh), nxt)
                 state[:m] = nxt
-            counts[part] = count + 1
+            counts[part] = count + (state != self.roots)
         return counts * self.bits / np.maximum(lengths, 1)[:, None], lengths
 
 
