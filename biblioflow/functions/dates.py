@@ -62,3 +62,8 @@ def epoch_millis_date(c: Column) -> Column:
 def iso_time(c: Column) -> Column:
     """A timestamp as 2024-01-31T08:00:00.000Z."""
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_or_now(c: Column, now: Column) -> Column:
+    """An ISO-8601 time in UTC, or that of `now` where the text is none."""
+    return iso_time(F.coalesce(F.try_to_timestamp(c), now))

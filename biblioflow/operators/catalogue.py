@@ -80,6 +80,22 @@ def feed(listing: DataFrame, base: str, prefix: str = "books/") -> DataFrame:
     return rows.withColumn("entry", F.concat(*parts))
 
 
+def pages(entries: DataFrame, size: int = 1_000) -> DataFrame:
+    """(page INT, entries BIGINT, body STRING): JSON documents of about `size` entries, so that no listing however long
+    becomes one row; a key is always on the same page of a listing of the same length."""
+    count = entries.count()
+    n = max(1, -(-count // size))
+    page = F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    listed = entries.groupBy(page.alias("page")).agg(F.count(F.lit(1)).alias("entries"), F.array_sort(F.collect_list(F.struct("name", *(c for c in entries.columns if c != "name")))).alias("__list"))
+    return listed.select("page", "entries", F.to_json(F.struct(F.col("__list").alias("entries"))).alias("body"))
+
+
+def feed_document(title: str, ident: str, updated: str, entries: Column) -> Column:
+    """An Atom document around the entries of a page."""
+    head = f'<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>{title}</title><id>{ident}</id><updated>{updated}</updated>'
+    return F.concat(F.lit(head), F.array_join(entries, ""), F.lit("</feed>"))
+
+
 def xml_escape(c: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(char), F.lit(entity))

@@ -48,6 +48,11 @@ def cat_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.feed(listing(spark, sf_dir), BASE)
 
 
+def cat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalogue.under(listing(spark, sf_dir), "books/").where(catalogue.is_book(F.col("key")))
+    return catalogue.pages(catalogue.entries(rows, "books/", BASE))
+
+
 def cat_next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = read_table(spark, sf_dir, "search_documents").select(F.concat(F.lit("wallpapers/wallpaper-"), F.format_string("%03d", F.col("search_id") % 1_000_000), F.lit(".bmp")).alias("key"))
     return catalogue.next_number(keys, "key", r"wallpaper-(\d+)\.bmp\z")
@@ -108,7 +113,7 @@ WITH one AS (
 )"""
 _NAME = r"trim(regexp_replace(lower(strip_accents(coalesce(title, ''))), '[\s\x{a0}]+', ' ', 'g'))"
 
-QUERIES = {f.__name__: f for f in (cat_entries, cat_overlay, cat_books, cat_feed, cat_next_number, sync_status, sync_versions, sync_counts, cat_identity)}
+QUERIES = {f.__name__: f for f in (cat_entries, cat_overlay, cat_books, cat_feed, cat_pages, cat_next_number, sync_status, sync_versions, sync_counts, cat_identity)}
 ORACLE_SQL = {
     "cat_entries": _LISTING + " SELECT name, key, size, updated, etag, download_url FROM entries WHERE source = 'epub' ORDER BY name",
     "cat_overlay": _LISTING

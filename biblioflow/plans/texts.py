@@ -182,6 +182,34 @@ def _edition(x: str) -> str:
     return f"nullif({x}, '')"
 
 
+
+
+def _sql_pattern(pattern: str) -> str:
+    """A Java pattern of the series forms for RE2, whose case folding is always of Unicode."""
+    return pattern.replace("(?isu)", "(?is)").replace("'", "''")
+
+
+def _series_sql() -> str:
+    """CTEs ending in `f`: (record_id, series_index, p), p being the first form's parts that hold."""
+    parts = []
+    for k, (pattern, title, name, index) in enumerate(series.FORMS):
+        e = _sql_pattern(pattern)
+        t, n, i = (f"nullif(regexp_extract(t, '{e}', {g}), '')" for g in (title, name, index))
+        parts.append(f"SELECT record_id, {k} AS k, {_clean(t)} AS title, {_clean(n)} AS series, {_number(i)} AS idx FROM c WHERE regexp_matches(t, '{e}')")
+    return f"""
+WITH c AS (SELECT record_id, any_value(title) AS raw, any_value(series_index) AS series_index, any_value(author) AS author, {_clean("any_value(title)")} AS t FROM n GROUP BY record_id),
+m AS ({" UNION ALL ".join(parts)}),
+f AS (SELECT record_id, arg_min({{'title': title, 'series': series, 'idx': idx}}, k) AS p FROM m WHERE title IS NOT NULL AND series IS NOT NULL AND idx <> '0' GROUP BY record_id)"""
+
+
+def _sanitized(x: str) -> str:
+    for pattern, to in ((r"[\x00-\x1f\x7f]", "''"), (r'[\\/:*?"<>|]', "' - '"), (rf"{_WS}+-{_WS}+-{_WS}+", "' - '"), (rf"{_WS}+", "' '"), (r"[. ]+\z", "''")):
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    return _trim(x)
+
+
+_LABEL_EN = rf"(?i){_WS}*[(\[]{_WS}*(?:(?:standard|special|deluxe|collector(?:''s)?|collectors?|international|anniversary|movie{_WS}+tie[- ]?in|illustrated|limited|signed){_WS}+)?edition{_WS}*[)\]]{_WS}*\z"
+_LABEL_ES = rf"(?i){_WS}*[(\[]{_WS}*(?:edici[oóOÓ]n{_WS}+(?:est[aá]ndar|especial|de{_WS}+lujo|coleccionista|ilustrada|limitada)){_WS}*[)\]]{_WS}*\z"
 _YEAR = r"regexp_extract({c}, '(?:^|[^0-9A-Za-z_])(1\d{3}|20\d{2})(?:$|[^0-9A-Za-z_])', 1)"
 ORACLE_SQL = {
     "fn_clean_text": f"SELECT record_id, {_clean('description')} AS clean, {_normal('description')} NOT IN ('', {_bad_values()}) AS meaningful FROM book_metadata",
@@ -209,6 +237,20 @@ SELECT record_id, plausible, CASE WHEN kind = 'strict' THEN CASE WHEN plausible
       + CASE WHEN coalesce(fl, '') <> '' AND coalesce(language, '') <> '' AND lower(substr(fl, 1, 2)) = lower(substr(language, 1, 2)) THEN 3 ELSE 0 END + CASE WHEN coalesce(description, '') <> '' THEN 2 ELSE 0 END)) + 0.5)::INT END AS title_score,
     CASE WHEN s >= 0.55 AND coalesce(n = fn, false) THEN floor(greatest(0, least(100, s * 55 + 30 + CASE WHEN coalesce(fa, '') <> '' THEN au_ * 15 - CASE WHEN coalesce(author, '') <> '' AND au_ < 0.45 THEN 20 ELSE 0 END ELSE 0 END)) + 0.5)::INT ELSE 0 END AS series_score FROM a)
   SELECT record_id, title_score, series_score, floor(greatest(0, least(100, title_score * (0.88 + 0.12 * 0.94::DOUBLE))) + 0.5)::INT AS weighted FROM raw""",
+    # One row per record is enough for these: a record that is delivered twice has one title.
+    "fn_series": _series_sql().replace("FROM n GROUP BY", "FROM book_metadata GROUP BY", 1)
+    + f""" SELECT b.record_id, p.title AS title_part, p.series AS series_part, p.idx AS number_part, {_number("b.series_index")} AS number, coalesce({_number("b.series_index")} = p.idx, false) AS same FROM book_metadata b LEFT JOIN f USING (record_id)""",
+    "fn_file_names": _series_sql().replace("FROM n GROUP BY", "FROM book_metadata GROUP BY", 1)
+    + f""", parts AS (
+      SELECT b.record_id, b.title, CASE WHEN {_normal("b.title")} NOT IN ('', {_bad_values()}) THEN nullif({_sanitized(_trim(f"regexp_replace(regexp_replace(coalesce(p.title, b.title), '{_LABEL_EN}', ''), '{_LABEL_ES}', '')"))}, '') END AS own,
+        coalesce(nullif({_sanitized(_trim("regexp_replace(b.title, '(?i)[.]epub$', '')"))}, ''), 'book') AS stand_in, CASE WHEN {_normal("b.author")} NOT IN ('', {_bad_values()}) THEN nullif({_sanitized("b.author")}, '') END AS by_
+      FROM book_metadata b LEFT JOIN f USING (record_id)
+    ), cut AS (SELECT *, coalesce(own, stand_in) AS name, coalesce(' - ' || by_, '') AS suffix FROM parts),
+    done AS (SELECT *, greatest(30, 180 - length(suffix)) AS most, regexp_replace(regexp_replace(regexp_replace(title, '[\\\\/\\x00]', '_', 'g'), '[\\x01-\\x1f\\x7f]', '', 'g'), '{_WS}+', ' ', 'g') AS s FROM cut)
+    SELECT record_id, CASE WHEN lower(coalesce(nullif({_trim("s")}, ''), 'book.epub')) LIKE '%.epub' THEN coalesce(nullif({_trim("s")}, ''), 'book.epub') ELSE coalesce(nullif({_trim("s")}, ''), 'book.epub') || '.epub' END AS safe,
+      CASE WHEN regexp_replace(title, '[\\\\/\\x00]', '_', 'g') NOT IN ('', '.', '..') THEN regexp_replace(title, '[\\\\/\\x00]', '_', 'g') END AS device,
+      {_trim(f"regexp_replace(replace(regexp_replace(title, '(?i)[.](epub|mobi|azw3)$', ''), '_', ' '), '{_WS}+', ' ', 'g')")} AS base,
+      CASE WHEN length(name) <= most THEN name ELSE regexp_replace(trim(substr(name, 1, most)), '[. -]+$', '') END || suffix || '.epub' AS canonical, CASE WHEN title IS NOT NULL THEN 'book' ELSE 'other' END AS kind FROM done""",
     "fn_stats_text": "SELECT coalesce(nullif(trim(title), ''), 'Unknown title') || CASE WHEN coalesce(trim(author), '') <> '' THEN ' - ' || trim(author) ELSE '' END || '.epub' AS book_name, count(*) AS days FROM kindle_days GROUP BY 1",
     "fn_subjects": f"""
 WITH n AS (SELECT row_number() OVER () AS n, record_id, subjects FROM book_metadata),

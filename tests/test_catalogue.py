@@ -53,3 +53,12 @@ def test_identity(spark):
 def test_upsert(spark):
     old, new = (spark.createDataFrame(x, "k string, v int") for x in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)]))
     assert sorted(map(tuple, catalogue.upsert(old, new, "k").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_pages(spark):
+    rows = catalogue.entries(listing(spark, *(f"books/{k}.epub" for k in range(25))), "books/", "https://l")
+    got = catalogue.pages(rows, 10).collect()
+    assert sum(r.entries for r in got) == 25 and len(got) <= 3 and all('"key":"books/' in r.body for r in got)
+    assert catalogue.pages(rows.where("false")).collect() == []
+    doc = spark.range(1).select(catalogue.feed_document("t", "i", "u", F.array(F.lit("<entry/>"))).alias("x")).first().x
+    assert doc.endswith("<entry/></feed>")
