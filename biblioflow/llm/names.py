@@ -125,8 +125,10 @@ def parse(name: str | None, families: frozenset[str] = frozenset()) -> Name | No
         rest = [t for t in own if not any(w.startswith(t) or len(t) > 4 and ratio(w, t) >= 0.85 for w in ("lectores", "lectura", "reading", "estudios", "narrativos"))]
         if rest or own:
             return Name(max(rest or own, key=len), kinds[0], "", "", True)
-    # A single capital or dotted letter is an initial, a small "y" or "e" joins.
-    sides = [[x for x in side if x[0] not in IDLE or len(x[0]) == 1 and (x[2] or x[1].isupper())] for side in sides]
+    # A single capital or dotted letter is an initial, and so are two capitals (unless all is in capitals); a small "y"
+    # or "e" joins, "Dr." is a title.
+    mixed = not name.isupper()
+    sides = [[x for x in side if x[0] not in IDLE or len(x[0]) == 1 and (x[2] or x[1].isupper()) or len(x[0]) == 2 and x[1].isupper() and not x[2] and mixed] for side in sides]
     if len(sides) == 2 and sides[1]:
         left, right = sides
         # "Given, Surname" also occurs: then only the left side holds given names.

@@ -12,8 +12,8 @@ from biblioflow.llm.components import components
 from biblioflow.llm.names import Name, agreement, is_weak, parse
 from biblioflow.sources.shared import checkpointed
 
-SUFFIX = 5  # letters of a token suffix (or beginning) that two spellings must share
-COMMON = 200  # spellings from which on a suffix is too common and whole surnames are asked for
+SUFFIX = 4  # letters of a token suffix (or beginning) that two spellings must share: an error in the middle of nine leaves four
+COMMON = 400  # spellings from which on a suffix is too common and whole surnames are asked for
 SECOND_SHARE, SECOND_LEAST = 0.001, 4  # of all names, and of different surnames, that a usual second surname goes with
 PARTS = "surname string, given string, middle string, second string, organisation boolean, weak boolean"
 
