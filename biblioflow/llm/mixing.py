@@ -72,9 +72,9 @@ def fill(targets: list[tuple[str, float, int]], sizes: dict[str, int], total: fl
     given, free, left = {}, {s for s, (w, m, n) in rows.items() if w > 0 and m * n > 0}, total
     while free:
         weight = sum(rows[s][0] for s in free)
-        full = {s for s in free if left * rows[s][0] / weight >= rows[s][1] * rows[s][2]}
+        full = {s for s in free if left * (rows[s][0] / weight) >= rows[s][1] * rows[s][2]}
         if not full:
-            given |= {s: left * rows[s][0] / weight for s in free}
+            given |= {s: left * (rows[s][0] / weight) for s in free}
             break
         for s in full:
             given[s] = float(rows[s][1] * rows[s][2])

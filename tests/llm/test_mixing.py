@@ -4,7 +4,8 @@ from hypothesis import strategies as st
 
 from biblioflow.llm import mixing
 
-source = st.tuples(st.floats(0, 1), st.integers(0, 6), st.integers(0, 10_000))
+# Weights so small that their ratios are rounding noise can't be held to proportions.
+source = st.tuples(st.one_of(st.just(0.0), st.floats(1e-9, 1)), st.integers(0, 6), st.integers(0, 10_000))
 
 
 @settings(max_examples=200, deadline=None)
