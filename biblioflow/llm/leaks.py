@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,32 @@ def align(a: list[str], b: list[str], price: float) -> tuple[int, int, int, int]
     return length, edits, i, at[0]
 
 
+def window(a: list[str], b: list[str]) -> tuple[int, int, int, int] | None:
+    """The alignment of WINDOW columns or more with few enough edits that has most matches: words, edits, and the range in `a`.
+
+    Layer k holds, for every pair of ends, the fewest edits of an alignment of exactly k columns, and its start. Up to
+    2 * WINDOW - 1 columns decide whether there is one: of a longer alignment one half has few enough edits as well.
+    """
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in side], dtype=np.int64) for side in (a, b))
+    edit = 1 << 32  # the low bits carry the start
+    differ = (x[:, None] != y[None, :]) * edit
+    layer = np.repeat(np.arange(len(a) + 1, dtype=np.int64)[:, None], len(b) + 1, axis=1)
+    best = None
+    for k in range(1, 2 * WINDOW):
+        new = np.full_like(layer, k * edit + len(a))
+        np.minimum(new[1:], layer[:-1] + edit, out=new[1:])
+        np.minimum(new[:, 1:], layer[:, :-1] + edit, out=new[:, 1:])
+        np.minimum(new[1:, 1:], layer[:-1, :-1] + differ, out=new[1:, 1:])
+        layer = new
+        if k >= WINDOW:
+            at = int(layer.argmin())
+            edits, start = divmod(int(layer.flat[at]), edit)
+            if edits <= SHARE * k and (best is None or k - edits > best[0] - best[1]):
+                best = k, edits, start, at // (len(b) + 1)
+    return best
+
+
 class Index:
     """Shingles of a block of items, and which of them a search starts from."""
 
@@ -120,7 +147,7 @@ class Index:
 
     @staticmethod
     def _verify(item: list[str], w: list[str], cluster: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
-        """Exact containment: an alignment of WINDOW words or more with few enough edits."""
+        """Exact containment: an alignment of WINDOW words or more with few enough edits, or one within a noisier copy."""
         margin = WINDOW + EDITS
         a0, b0 = (max(0, min(p[k] for p in cluster) - margin) for k in (0, 1))
         a, b = item[a0 : max(p[0] for p in cluster) + margin + SHINGLE], w[b0 : max(p[1] for p in cluster) + margin + SHINGLE]
@@ -128,7 +155,8 @@ class Index:
             length, edits, start, end = align(a, b, price)
             if length >= WINDOW and edits <= SHARE * length:
                 return length, edits, a0 + start, a0 + end
-        return None
+        found = window(a, b)
+        return found and (*found[:2], a0 + found[2], a0 + found[3])
 
 
 def leaked_passages(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:

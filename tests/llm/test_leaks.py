@@ -78,3 +78,23 @@ def test_prefix_is_enough():
     n = leaks.WINDOW - leaks.SHINGLE + 1
     for start in range(len(item) - n + 1):  # whatever LEAST shingles of a window survive, one of them is looked up
         assert n - len(keep & set(range(start, start + n))) < leaks.LEAST
+
+
+def test_window_within_a_noisier_copy():
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+    w, found, rejected = leaks.WINDOW, 0, 0
+    for share in (0.2, 0.25, 0.3) * 6:
+        item = [r.choice(vocabulary) for _ in range(45)]
+        doc = [r.choice(vocabulary) if r.random() < share else x for x in item]
+        got = leaks.Index([(7, item)], {}).search(doc)
+        if any(distance(item[i : i + w], doc[j : j + w]) <= leaks.SHARE * w for i in range(len(item) - w + 1) for j in range(max(0, i - 4), min(i + 5, len(doc) - w + 1))):
+            assert [x[0] for x in got] == [7]
+            found += 1
+            rejected += leaks.align(item, doc, 1.0)[1] > leaks.SHARE * leaks.align(item, doc, 1.0)[0]
+        for _, length, edits, start, end in got:
+            assert length >= w and edits <= leaks.SHARE * length and any(distance(item[start:end], doc[j:k]) <= edits for j in range(len(doc)) for k in range(j + end - start - edits, j + end - start + edits + 1))
+    assert found and rejected  # the case occurs
+    exact = [r.choice(vocabulary) for _ in range(98)]
+    noisy = exact[:18] + [r.choice(vocabulary) if k % 10 in (2, 5, 8) else x for k, x in enumerate(exact[18:])]
+    assert leaks.Index([(1, exact)], {}).search(noisy) and not leaks.Index([(1, exact)], {}).search(exact[:12])
