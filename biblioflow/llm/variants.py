@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblioflow.llm.components import components
-from biblioflow.llm.names import Name, agreement, is_weak, parse
+from biblioflow.llm.names import Name, agreement, is_weak, parse, scanned
 from biblioflow.sources.shared import checkpointed
 
 SUFFIX = 4  # letters of a token suffix (or beginning) that two spellings must share: an error in the middle of nine leaves four
-COMMON = 400  # spellings from which on a suffix is too common and whole surnames are asked for
+COMMON = 400  # spellings from which on a suffix is too common and what it leaves of the surname must agree but for errors
+LEFT_OUT = 0.305  # share of a surname's letters that one of ratio 0.82 may lack
+LONG = 17  # letters from which on surnames of a common suffix meet whatever the rest is: leaving out more than four is too many keys
 SECOND_SHARE, SECOND_LEAST = 0.001, 4  # of all names, and of different surnames, that a usual second surname goes with
 PARTS = "surname string, given string, middle string, second string, organisation boolean, weak boolean"
 
@@ -38,19 +41,46 @@ def second_surnames(parsed: DataFrame, total: int) -> frozenset[str]:
     return frozenset(r.second for r in usual.join(first, "second", "left").where("n >= 4 * coalesce(own, 0)").select("second").collect())
 
 
+def remainders(surname: str, from_start: bool) -> list[str]:
+    """What a surname has besides one end, with as many letters left out as errors may cost: alike ones share one.
+
+    Both the letters as they are and those with scanning confusions set aside.
+    """
+    rest = surname[SUFFIX:] if from_start else surname[:-SUFFIX]
+    if len(surname) >= LONG:
+        return ["*", f"={rest}"]
+    most = int(LEFT_OUT * len(surname))
+    return sorted({"".join(c) for r in {rest, scanned(rest)} for k in range(min(most, len(r)) + 1) for c in combinations(r, len(r) - k)})
+
+
+def _remainders(surname: str, end: str) -> Column:
+    """`remainders` of two columns, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def rest(s: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([remainders(x, y[0] == "<") for x, y in zip(s, e, strict=True)], dtype="object")
+
+    return rest(F.col(surname), F.col(end))
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
     """(key, node columns): the suffixes and beginnings under which a node is looked up, with its initial.
 
     A typing error leaves one end of a surname whole. Suffixes that remain common with the initial aren't dropped but
-    ask for the whole surname, so that those spellings still meet all that share it.
+    ask for a like surname: pairs of surnames that share a remainder are the keys, found over distinct surnames.
     """
     known = nodes.where("given <> '' and surname <> ''")
     initial = F.substring("given", 1, 1)
     ends = F.array(F.concat(F.lit("<"), F.substring("surname", 1, SUFFIX)), F.concat(F.lit(">"), F.substring(F.col("surname"), -SUFFIX, SUFFIX)))
     each = known.withColumn("__end", F.explode(F.array_distinct(ends))).withColumn("__key", F.concat_ws("|", "__end", initial))
-    common = each.groupBy("__key").count().where(f"count > {COMMON}").select("__key", F.lit(True).alias("__common"))
-    whole = F.concat_ws("|", "__end", initial, "surname")
-    return each.join(common, "__key", "left").withColumn("__key", F.when(F.col("__common"), whole).otherwise(F.col("__key"))).drop("__common", "__end")
+    common = checkpointed(each.groupBy("__key").count().where(f"count > {COMMON}").select("__key"))
+    hot = each.join(common, "__key", "left_semi")
+    left_out = hot.select("__key", "__end", "surname").distinct().select("__key", "surname", F.explode(_remainders("surname", "__end")).alias("__rest"))
+    like = left_out.alias("l").join(left_out.alias("r"), ["__key", "__rest"]).where("l.surname <= r.surname").select("__key", F.col("l.surname").alias("__a"), F.col("r.surname").alias("__b")).distinct()
+    refined = like.select("__key", "__a", "__b", F.explode(F.array_distinct(F.array("__a", "__b"))).alias("surname"))
+    met = hot.join(refined, ["__key", "surname"]).withColumn("__key", F.concat_ws("|", "__key", "__a", "__b"))
+    columns = ["__key", *nodes.columns]
+    return each.join(common, "__key", "left_anti").select(columns).unionByName(met.select(columns))
 
 
 def _level(a: str, b: str) -> Column:

@@ -1,5 +1,6 @@
 import random
 
+from biblioflow.llm import variants
 from biblioflow.llm.components import components
 from biblioflow.llm.names import agreement, lcs, parse, ratio
 from biblioflow.llm.variants import variant_groups, variant_pairs
@@ -72,3 +73,28 @@ def test_components(spark):
             parent[hi] = lo
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {x: find(x) for x in list(parent)}
+
+
+def test_remainders():
+    """Like surnames that share an end share a remainder."""
+    r = random.Random(4)
+    for _ in range(400):
+        a = "".join(r.choice("aeiourmnstlc") for _ in range(r.randrange(5, 17)))
+        b = list(a)
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(b))
+            b[k : k + 1] = r.choice(["", "x", "xy", b[k] + "n"])
+        b = "".join(b)
+        if 5 <= len(b) <= 16 and ratio(a, b) >= 0.82 and a[:4] == b[:4] and 2 * lcs(a, b) / (len(a) + len(b)) >= 0.82:
+            assert set(variants.remainders(a, True)) & set(variants.remainders(b, True)), (a, b)
+    assert len(variants.remainders("x" * 5000, False)) == 2
+
+
+def test_common_ends_keep_misspelt_surnames(spark, monkeypatch):
+    names = ["Francisco Brutraflavil", "Paco Brutraflavil", "Francisco Bxutraflavil", "Francisco Brutrafalvix", "Francisco Bru1raflavil", "F. Brutrafavil", "Fabio Brusutaflavil", "Felix Corrnoflavil", "Felix Comoflavil"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {}
+    for common in (400, 2):
+        monkeypatch.setattr(variants, "COMMON", common)
+        got[common] = {tuple(r) for r in variant_pairs(df, "name").collect()}
+    assert got[400] == got[2] and ("Francisco Brutraflavil", "Francisco Bxutraflavil") in got[2] and ("Felix Comoflavil", "Felix Corrnoflavil") in got[2]
