@@ -26,6 +26,8 @@ NOBODY = {"anonimo", "anonima", "anonymous", "desconocido", "desconocida", "unkn
 # Letters that scanning confuses.
 SCANNED = [("rn", "m"), ("ii", "u"), ("vv", "w"), ("c", "e"), ("h", "b")]
 
+SELDOM = 0.1  # of a surname's spellings that a misspelling of it may have, if it has several
+
 SHORT = {n: full for full, names in GIVEN.items() for n in names.split()}
 DIGITS = str.maketrans("015", "ols")
 TOKEN = re.compile(r"[^\W_]+\.?")
@@ -197,7 +199,8 @@ def agreement(a: Name, b: Name, common_a: int = 1, common_b: int = 1) -> int:
     """2: the same person; 1: the same as far as an initial tells; 0: different.
 
     `common_*` says in how many spellings a surname occurs: two surnames that both occur in several are different
-    names however alike, since a typing error seldom occurs twice.
+    names however alike, since a typing error seldom occurs twice, unless one is seldom beside the other, or they
+    differ by scanning confusions only, which do recur.
     """
     if a.organisation != b.organisation:
         return 0
@@ -208,7 +211,10 @@ def agreement(a: Name, b: Name, common_a: int = 1, common_b: int = 1) -> int:
         return 0
     if a.surname == b.surname:
         return level
-    if common_a >= 4 and common_b >= 4 or min(len(a.surname), len(b.surname)) < 5:
+    if min(len(a.surname), len(b.surname)) < 5:
+        return 0
+    few, many = sorted((common_a, common_b))
+    if few >= 4 and few > SELDOM * many and scanned(a.surname) != scanned(b.surname):
         return 0
     alike = ratio(a.surname, b.surname)
     return level if alike >= (0.82 if level == 2 else 0.88) else 0

@@ -98,3 +98,13 @@ def test_common_ends_keep_misspelt_surnames(spark, monkeypatch):
         monkeypatch.setattr(variants, "COMMON", common)
         got[common] = {tuple(r) for r in variant_pairs(df, "name").collect()}
     assert got[400] == got[2] and ("Francisco Brutraflavil", "Francisco Bxutraflavil") in got[2] and ("Felix Comoflavil", "Felix Corrnoflavil") in got[2]
+
+
+def test_recurring_misspellings(spark):
+    right, misspelt, scan = parse("Jesús Sefomiras"), parse("Jesús Sefomirxas"), parse("Jesús Seforniras")
+    assert agreement(right, scan, 40, 30) == 2  # scanning errs the same way each time
+    assert agreement(right, misspelt, 40, 4) == agreement(misspelt, right, 4, 40) == 2 and agreement(right, misspelt, 400, 40) == 2
+    assert agreement(right, misspelt, 40, 30) == agreement(right, misspelt, 4, 4) == 0
+    forms = ["Jesús {}", "{}, Jesús", "Chus {}", "Dr. Jesús {}", "Jesús {} (Autor)", "jesus {}"]
+    names = [(f.format(s),) for f in forms for s in ("Sefomiras", "Seforniras")]
+    assert len({r.group_id for r in variant_groups(spark.createDataFrame(names, "name string"), "name").collect()}) == 1
