@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 
-from biblioflow.llm.visible import skeleton
+from biblioflow.llm.visible import Letters, skeleton_of
 
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.DOTALL)
 MARK = re.compile(r"[̀-ͯ]+")
@@ -37,14 +37,20 @@ def mended(text: str) -> str:
 
 def plain(text: str) -> str:
     """`text` without markup: tags become blanks, entities their characters."""
-    return html.unescape(TAG.sub(" ", text))
+    text = TAG.sub(" ", text) if "<" in text else text
+    return html.unescape(text) if "&" in text else text
 
 
-def folded(text: str) -> str:
+def folded(text: str, letters: Letters = ()) -> str:
     """Skeleton of the plain text in lower case without accents."""
-    return MARK.sub("", unicodedata.normalize("NFD", skeleton(plain(text)).lower()))
+    text = plain(text)
+    if not text.isascii():
+        # Marks go first: most of what isn't ASCII is a letter and its accent.
+        text = MARK.sub("", unicodedata.normalize("NFD", text))
+    text = skeleton_of(letters)(text).lower()
+    return text if text.isascii() else MARK.sub("", unicodedata.normalize("NFD", text))
 
 
-def words(text: str | None) -> list[str]:
+def words(text: str | None, letters: Letters = ()) -> list[str]:
     """The comparable words of a text in order; none for null or empty text."""
-    return WORD.findall(folded(text)) if text else []
+    return WORD.findall(folded(text, letters)) if text else []

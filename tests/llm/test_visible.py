@@ -1,4 +1,4 @@
-from biblioflow.llm.visible import consistent_form, look_alike_classes, look_alike_pairs, skeleton
+from biblioflow.llm.visible import consistent_form, look_alike_classes, look_alike_letters, look_alike_pairs, skeleton
 
 SAME = ["Café sol", "Ｃａｆé sol", "Café sol", "Cаfé sоl", "Ca​fé­sol".replace("­", " "), "Café sol", "Café s­ol"]
 OTHER = ["Cafe sol", "café sol", "Café, sol", "Café  sol", "Café\nsol", None, ""]
@@ -18,7 +18,18 @@ def test_pairs_and_classes(spark):
     got = [tuple(r) for r in look_alike_pairs(df).collect()]
     assert set(got) == want and len(got) == len(want)
     classes = look_alike_classes(df).collect()
+    links = {k: sum(k in p for p in want) for k in {k for p in want for k in p}}
+    assert {r.doc_id: r.links for r in classes} == links
     assert {r.doc_id for r in classes} == {k for p in want for k in p} and len({r.class_id for r in classes}) == 2
     forms = {r.doc_id: r.consistent for r in consistent_form(df).collect()}
     assert forms[1] == "Café sol" and forms[len(SAME) + 5] is None and forms[len(SAME) + 6] == ""
     assert look_alike_pairs(df.where("false")).collect() == []
+
+
+def test_public_table(spark):
+    letters = look_alike_letters(spark)
+    for ch, like in {"Ꭺ": "A", "Ꮃ": "W", "γ": "y", "σ": "o", "հ": "h", "ո": "n", "ѵ": "v", "ҽ": "e", "Ⲟ": "O", "ꓮ": "A", "ᴏ": "o", "І": "I", "Ӏ": "I", "ւ": "ւ", "Г": "Γ"}.items():
+        assert skeleton(ch, letters) == skeleton(like, letters)
+    for a, b in ("Il", "l1", "O0", ("rn", "m"), ("–", "-"), ("“", '"'), ("б", "6"), ("æ", "ae"), ("в", "B"), ("к", "k"), ("é", "e")):
+        assert skeleton(a, letters) != skeleton(b, letters)
+    assert 300 < len(letters) < 5000 and skeleton("Γ", letters) == "Γ"
