@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblioflow.llm.visible import Letters, look_alike_letters
 from biblioflow.llm.words import words
+from biblioflow.sources.shared import checkpointed
 
 SHINGLE = 3  # words; runs of three survive when every fifth word changes, runs of five needn't
 WINDOW = 18  # words a passage has at least
@@ -39,28 +41,33 @@ def prefix_positions(item: list[tuple[str, ...]], rarity: dict) -> set[int]:
 
 def align(a: list[str], b: list[str], price: float) -> tuple[int, int, int, int]:
     """The best local alignment of two word lists: words, edits, and the range in `a`. A match earns 1, an edit costs `price`."""
-    cols = len(b) + 1
-    grid, best, at = [[0.0] * cols], 0.0, (0, 0)
-    for i, x in enumerate(a, 1):
-        above, row, left = grid[-1], [0.0] * cols, 0.0
-        for j, y in enumerate(b, 1):
-            s = above[j - 1] + (1 if x == y else -price)
-            gap = (above[j] if above[j] > left else left) - price
-            left = row[j] = s if s > gap and s > 0 else gap if gap > 0 else 0.0
-            if left > best:
-                best, at = left, (i, j)
-        grid.append(row)
-    (i, j), length, edits = at, 0, 0
-    while grid[i][j] > 0:
+    if not a or not b:
+        return 0, 0, 0, 0
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in side]) for side in (a, b))
+    step = np.where(x[:, None] == y[None, :], 1.0, -price)
+    grid, ramp = np.zeros((len(a) + 1, len(b) + 1)), price * np.arange(len(b) + 1)
+    for i in range(len(a)):
+        row = grid[i + 1]
+        np.maximum(grid[i, :-1] + step[i], grid[i, 1:] - price, out=row[1:])
+        np.maximum(row, 0, out=row)
+        row += ramp  # a run of gaps to the right costs as much as the ramp rises
+        np.maximum.accumulate(row, out=row)
+        row -= ramp
+    i, j = divmod(int(grid.argmax()), len(b) + 1)
+    end, length, edits, here, above = i, 0, 0, grid[i].tolist(), grid[i - 1].tolist()
+    while here[j] > 0:
         same = a[i - 1] == b[j - 1]
         length += 1
         edits += not same
-        if grid[i][j] == grid[i - 1][j - 1] + (1 if same else -price):
-            i, j = i - 1, j - 1
+        diagonal = here[j] == above[j - 1] + (1 if same else -price)
+        edits += same and not diagonal
+        if diagonal or here[j] == above[j] - price:
+            i, j = i - 1, j - diagonal
+            here, above = above, grid[i - 1].tolist() if i else []
         else:
-            edits += same
-            i, j = (i - 1, j) if grid[i][j] == grid[i - 1][j] - price else (i, j - 1)
-    return length, edits, i, at[0]
+            j -= 1
+    return length, edits, i, end
 
 
 def window(a: list[str], b: list[str]) -> tuple[int, int, int, int] | None:
@@ -103,8 +110,8 @@ class Index:
             for k in prefix_positions(s, rarity):
                 self.prefix[s[k]].add(key)
 
-    def search(self, w: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(item, words, edits, from, to) of the longest passage of each item in the words of a document."""
+    def search(self, w: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+        """(item, words, edits, from, to, at) of the longest passage of each item in each stretch of a document's words."""
         at = [(j, x) for j, x in enumerate(shingles(w)) if x in self.all]
         wanted = set().union(*(self.prefix[x] for _, x in at if x in self.prefix))
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -112,17 +119,12 @@ class Index:
             for key, i in self.all[x]:
                 if key in wanted:
                     hits[key].append((i, j))
-        out = []
-        for key, pairs in hits.items():
-            passages = [p for c in self._clusters(pairs) if (p := self._verify(self.items[key][1], w, c))]
-            if passages:
-                out.append((self.items[key][0], *max(passages, key=lambda p: (p[0] - p[1], p))))
-        return out
+        return [(self.items[key][0], *p, c[0][1]) for key, pairs in hits.items() for c in self._clusters(pairs) if (p := self._verify(self.items[key][1], w, c))]
 
     @staticmethod
     def _clusters(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
         """Hits with LEAST - 1 others near them in the item and near their diagonal, by stretch of the document."""
-        if len({i for i, _ in pairs}) < LEAST:
+        if len(pairs) < LEAST or len({i for i, _ in pairs}) < LEAST:
             return []
         pairs.sort(key=lambda p: p[1])
         near, lo = [], 0
@@ -133,10 +135,11 @@ class Index:
             for p, q in pairs[lo:]:
                 if q > j + 2 * WINDOW:
                     break
-                if abs(p - i) <= WINDOW - SHINGLE and abs(q - p - j + i) <= EDITS:
+                if -EDITS <= q - p - j + i <= EDITS and SHINGLE - WINDOW <= p - i <= WINDOW - SHINGLE:
                     found.add(p)
-            if len(found) >= LEAST:
-                near.append((i, j))
+                    if len(found) == LEAST:
+                        near.append((i, j))
+                        break
         clusters: list[list[tuple[int, int]]] = []
         for p in near:
             if clusters and p[1] - clusters[-1][-1][1] <= 2 * WINDOW:
@@ -159,36 +162,42 @@ class Index:
         return found and (*found[:2], a0 + found[2], a0 + found[3])
 
 
+RESULT = "item long, doc long, words int, edits int, item_from int, item_to int, doc_word int"
+
+
 def leaked_passages(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, doc, words, edits, item_from, item_to): each document that holds a passage of an item.
-
-    A passage has 18 or more words of which at most about one in five is changed, missing or added. Shingles of
-    three words are ordered by the number of corpus documents that hold them; each window of an item is looked up by
-    its rarest shingles only (its prefix), hits must lie near one diagonal, and an alignment decides. Every document
-    is searched where it lies: nothing but the counts of the items' own shingles is shuffled. The items are held in
-    blocks of at most BLOCK_WORDS words, one pass over the corpus each, so the memory taken doesn't depend on them.
-    Null or empty texts hold no passage, and rows without a key are left out; copies are found each; other columns are ignored whatever their names.
+    """(item, doc, words, edits, item_from, item_to, doc_word): each passage of an item that stands in a document.
+
+    A passage has 18 or more words of which at most about one in five is changed, missing or added; `doc_word` is the
+    word of the document from which on it shares shingles. Of passages of one item that follow each other within 36
+    words, the one with most matches is given. Shingles of three words are ordered by the number of corpus documents
+    that hold them; each window of an item is looked up by its rarest shingles only (its prefix), hits must lie near
+    one diagonal, and an alignment decides. One pass over the corpus counts the items' own shingles and keeps the
+    words of documents that hold enough of one item's; only these are searched. The items are held in blocks of at
+    most BLOCK_WORDS words, one pass over the corpus each, so the memory taken doesn't depend on them. Null or empty
+    texts hold no passage, and rows without a key are left out; copies are found each; other columns are ignored whatever their names.
     """
     spark = corpus.sparkSession
+    letters = look_alike_letters(spark)
     docs = corpus.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")).where("__doc is not null and __text is not null")
     out = None
-    for block in _blocks(items, item, text):
-        send = spark.sparkContext.broadcast(block)
-        counts = docs.mapInPandas(_counter(send), "shingle string, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    for block in _blocks(items, item, text, letters):
+        sifted = checkpointed(docs.mapInPandas(_sifter(spark.sparkContext.broadcast((block, letters))), "doc long, words string, shingle string, n bigint"))
+        counts = sifted.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
         # As many rows as the block has shingles, whatever the corpus's size.
         rarity = {tuple(r.shingle.split(" ")): r.n for r in counts.toLocalIterator()}
-        found = docs.mapInPandas(_searcher(spark.sparkContext.broadcast((block, rarity))), "item long, doc long, words int, edits int, item_from int, item_to int")
+        found = sifted.where("doc is not null").select("doc", "words").mapInPandas(_searcher(spark.sparkContext.broadcast((block, rarity))), RESULT)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = spark.createDataFrame([], "item long, doc long, words int, edits int, item_from int, item_to int")
+        out = spark.createDataFrame([], RESULT)
     return out.withColumnsRenamed({"item": item, "doc": doc})
 
 
-def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
+def _blocks(items: DataFrame, item: str, text: str, letters: Letters = ()) -> Iterator[list[tuple[int, list[str]]]]:
     """(key, words) of items in blocks of at most BLOCK_WORDS words, streamed to the driver one partition at a time."""
     block, size = [], 0
     for r in items.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("k"), F.col(text).alias("t")).distinct().toLocalIterator():
-        w = words(r.t)
+        w = words(r.t, letters)
         if len(w) < WINDOW - EDITS:
             continue
         if block and size + len(w) > BLOCK_WORDS:
@@ -200,23 +209,42 @@ def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int,
         yield block
 
 
-def _counter(send):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {x for _, w in send.value for x in shingles(w)}
+def _sifter(send):
+    def rows(docs: list, texts: list, found: list, n: list) -> pd.DataFrame:
+        return pd.DataFrame({"doc": pd.array(docs, dtype="Int64"), "words": pd.Series(texts, dtype="object"), "shingle": pd.Series(found, dtype="object"), "n": pd.array(n, dtype="Int64")})
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, letters = send.value
+        places: dict[tuple, list[int]] = defaultdict(list)  # the item of each place where a shingle stands
+        for key, (_, w) in enumerate(items):
+            for x in shingles(w):
+                places[x].append(key)
         seen: Counter = Counter()
         for batch in batches:
-            for t in batch["__text"]:
-                seen.update(known.intersection(shingles(words(t))))
-        yield pd.DataFrame({"shingle": [" ".join(x) for x in seen], "n": list(seen.values())}).astype({"shingle": "object", "n": "int64"})
-
-    return count
+            kept, texts = [], []
+            for d, t in zip(batch["__doc"], batch["__text"], strict=True):
+                w = words(t, letters)
+                found = places.keys() & set(shingles(w))
+                if not found:
+                    continue
+                seen.update(found)
+                # A passage shares LEAST shingles of its item.
+                if len(found) >= LEAST or any(len(places[x]) > 1 for x in found):
+                    shared = Counter(key for x in found for key in places[x])
+                    if max(shared.values()) >= LEAST:
+                        kept.append(d)
+                        texts.append(" ".join(w))
+            yield rows(kept, texts, [None] * len(kept), [None] * len(kept))
+        yield rows([None] * len(seen), [None] * len(seen), [" ".join(x) for x in seen], list(seen.values()))
+
+    return sift
 
 
 def _searcher(send):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(*send.value)
         for batch in batches:
-            rows = [(f[0], d, *f[1:]) for d, t in zip(batch["__doc"], batch["__text"], strict=True) for f in index.search(words(t))]
-            yield pd.DataFrame(rows, columns=["item", "doc", "words", "edits", "item_from", "item_to"])
+            rows = [(f[0], d, *f[1:]) for d, t in zip(batch["doc"], batch["words"], strict=True) for f in index.search(t.split(" "))]
+            yield pd.DataFrame(rows, columns=["item", "doc", "words", "edits", "item_from", "item_to", "doc_word"])
 
     return search

@@ -10,7 +10,7 @@ from biblioflow.sources.tables import read_table
 
 
 def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every leaked passage with its length, edits and place in the item."""
+    """Every leaked passage with its length, edits and place in the item and the document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return leaked_passages(docs, read_table(spark, sf_dir, "eval_items").select("item_id", "text"))
 

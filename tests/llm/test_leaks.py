@@ -56,6 +56,7 @@ def test_found_and_not_found(spark):
     add_again = spark.createDataFrame(docs, "doc_id long, text string, words string")
     got = leaks.leaked_passages(add_again.unionByName(add_again.where("doc_id = 0")), spark.createDataFrame(items, "item_id long, text string"))
     rows = got.collect()
+    assert sorted(x.doc_word for x in rows if x.doc_id == 6 and x.item_id == 2) == [320]
     assert {(x.item_id, x.doc_id) for x in rows} == want and all(x.words >= leaks.WINDOW for x in rows)
     for k, i in want:
         assert brute(text[k], docs[i][1].lower().split())
@@ -92,9 +93,18 @@ def test_window_within_a_noisier_copy():
             assert [x[0] for x in got] == [7]
             found += 1
             rejected += leaks.align(item, doc, 1.0)[1] > leaks.SHARE * leaks.align(item, doc, 1.0)[0]
-        for _, length, edits, start, end in got:
+        for _, length, edits, start, end, _ in got:
             assert length >= w and edits <= leaks.SHARE * length and any(distance(item[start:end], doc[j:k]) <= edits for j in range(len(doc)) for k in range(j + end - start - edits, j + end - start + edits + 1))
     assert found and rejected  # the case occurs
     exact = [r.choice(vocabulary) for _ in range(98)]
+    for tail, every in ((200, 4), (300, 4), (60, 3)):  # a verbatim run, then a noisy copy of the rest
+        item = [r.choice(vocabulary) for _ in range(20 + tail)]
+        doc = item[:20] + [r.choice(vocabulary) if k % every == 1 else x for k, x in enumerate(item[20:])]
+        assert leaks.Index([(1, item)], {}).search(doc)
+    for _ in range(40):  # a verbatim run of 18 anywhere in noise
+        item = [r.choice(vocabulary) for _ in range(r.randrange(60, 120))]
+        start, share = r.randrange(len(item) - w), r.uniform(0.22, 0.4)
+        doc = [x if start <= k < start + w or r.random() > share else r.choice(vocabulary) for k, x in enumerate(item)]
+        assert leaks.Index([(1, item)], {}).search(doc)
     noisy = exact[:18] + [r.choice(vocabulary) if k % 10 in (2, 5, 8) else x for k, x in enumerate(exact[18:])]
     assert leaks.Index([(1, exact)], {}).search(noisy) and not leaks.Index([(1, exact)], {}).search(exact[:12])
