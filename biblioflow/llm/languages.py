@@ -34,6 +34,7 @@ SAMPLE_CHARS = 2_000  # of each such text
 TRAIN_CHARS = 30_000  # of cleaned sentences per language in its automaton
 LEAST_WORDS = 3  # of a segment
 LETTERS = re.compile(r"[^\W\d_]+")
+FOREIGN = re.compile(r"[^\W\d_A-Za-zªµºÀ-ɏ]")  # letters of a script that none of the languages is written in
 BLOCK = re.compile(r"<(?:br|/?p|/?div|/?li|/?h\d)\b[^<>]*>", re.IGNORECASE)
 SENTENCE = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+|[\n\r]+")
 # A quotation without the end of a sentence inside is a title.
@@ -48,7 +49,8 @@ def label_code(c: Column) -> Column:
 
 
 def segments(text: str | None) -> list[str]:
-    """Sentences, or their beginnings, of three words or more; markup, quoted titles and placeholders hold none."""
+    """Sentences, or their beginnings, of three words or more; markup, quoted titles and placeholders hold none, and
+    neither do sentences most of whose letters are of another script than the languages'."""
     if not text:
         return []
     text = plain(BLOCK.sub("\n", mended(text)))
@@ -57,7 +59,7 @@ def segments(text: str | None) -> list[str]:
     found = []
     for s in SENTENCE.split(TITLE.sub(" ", text)):
         s = CUT.sub("", s).strip()
-        if len(LETTERS.findall(s)) >= LEAST_WORDS:
+        if len(LETTERS.findall(s)) >= LEAST_WORDS and (s.isascii() or 2 * len(FOREIGN.findall(s)) <= sum(map(str.isalpha, s))):
             found.append(s)
     return found
 
@@ -162,11 +164,12 @@ def decide(bits: np.ndarray, phrase: np.ndarray, slack: float = 1.05) -> tuple[n
     return best, (odds / odds.sum(axis=1, keepdims=True))[np.arange(len(best)), best]
 
 
-SCHEMA = "key long, stretch int, language string, confidence double, words int, text string"
+SCHEMA = "key long, label string, stretch int, language string, confidence double, words int, text string"
 
 
 def language_stretches(texts: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(key, stretch, language, confidence, words, text): the stretches of each text that are in one language.
+    """(key, label, stretch, language, confidence, words, text): the stretches of each text that are in one language;
+    `label` is the code that the text's own label names, or null.
 
     The labelled texts themselves, most of which are labelled right, make the languages known: a bounded sample is
     cleaned of wrong labels and put into one suffix automaton per language. Each sentence is then parsed into longest
@@ -182,16 +185,18 @@ def language_stretches(texts: DataFrame, key: str, text: str, label: str) -> Dat
         parser = parser_of(model.value)
         for batch in batches:
             parts = [segments(t) for t in batch["text"]]
-            bits, lengths = parser.phrases([s for p in parts for s in p])
+            place = {s: k for k, s in enumerate(dict.fromkeys(s for p in parts for s in p))}  # each different sentence is parsed once
+            bits, lengths = parser.phrases(list(place))
             bits = bits * lengths[:, None]
-            rows, at = [], 0
-            for key_, part in zip(batch["key"], parts, strict=True):
-                own, at = bits[at : at + len(part)], at + len(part)
+            rows = []
+            for key_, code, part in zip(batch["key"], batch["label"], parts, strict=True):
                 if part and parser.labels:
-                    rows += [(key_, n, *x) for n, x in enumerate(stretches(part, *decide(own, parser.bits), parser.labels))]
-            yield pd.DataFrame(rows, columns=["key", "stretch", "language", "confidence", "words", "text"])
+                    own = bits[[place[s] for s in part]]
+                    rows += [(key_, code, n, *x) for n, x in enumerate(stretches(part, *decide(own, parser.bits), parser.labels))]
+            yield pd.DataFrame(rows, columns=["key", "label", "stretch", "language", "confidence", "words", "text"])
 
-    found = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").mapInPandas(judge, SCHEMA)
+    rows = texts.select(F.col(key).alias("key"), label_code(F.col(label)).alias("label"), F.col(text).alias("text"))
+    found = rows.where("key is not null and text is not null").mapInPandas(judge, SCHEMA)
     return found.withColumnRenamed("key", key)
 
 
@@ -210,6 +215,8 @@ def stretches(parts: list[str], best: np.ndarray, sure: np.ndarray, labels: list
 
 
 def languages_present(texts: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(key, language, confidence, words): one row per text and language, `words` being how many are in it."""
+    """(key, language, confidence, words, labelled): one row per text and language, `words` being how many are in it,
+    `labelled` whether every label of the text names it."""
     by = language_stretches(texts, key, text, label).groupBy(key, "language")
-    return by.agg((F.sum(F.col("confidence") * F.col("words")) / F.sum("words")).alias("confidence"), F.sum("words").alias("words"))
+    right = F.coalesce(F.col("label") == F.col("language"), F.lit(False))
+    return by.agg((F.sum(F.col("confidence") * F.col("words")) / F.sum("words")).alias("confidence"), F.sum("words").alias("words"), F.min(right).alias("labelled"))

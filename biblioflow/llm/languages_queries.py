@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioflow.llm.languages import label_code, language_stretches, languages_present
+from biblioflow.llm.languages import language_stretches, languages_present
 from biblioflow.sources.tables import read_table
 
 
@@ -15,16 +15,14 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the descriptions whose label doesn't name exactly the one language they are in."""
-    texts = _texts(spark, sf_dir)
-    present = languages_present(texts, "record_id", "description", "language").groupBy("record_id").agg(F.collect_set("language").alias("found"))
-    labels = texts.select("record_id", label_code(F.col("language")).alias("label")).distinct()
-    right = (F.size("found") == 1) & F.coalesce(F.element_at("found", 1) == F.col("label"), F.lit(False))
-    return present.join(labels, "record_id").where(~right).select("record_id", F.explode("found").alias("language")).distinct()
+    each = languages_present(_texts(spark, sf_dir), "record_id", "description", "language")
+    found = each.groupBy("record_id").agg(F.collect_set("language").alias("found"), F.min("labelled").alias("labelled"))  # seven at most
+    return found.where((F.size("found") > 1) | ~F.col("labelled")).select("record_id", F.explode("found").alias("language"))
 
 
 def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stretch of a description with its language and confidence."""
-    return language_stretches(_texts(spark, sf_dir), "record_id", "description", "language")
+    return language_stretches(_texts(spark, sf_dir), "record_id", "description", "language").drop("label")
 
 
 QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches}

@@ -49,6 +49,7 @@ def test_phrases_equal_naive():
 def test_segments():
     assert segments("<p>El faro rojo brilla.</p>Luego «The red house» calla (más)") == ["El faro rojo brilla."]
     assert segments("Sin descripción.") == segments(None) == segments("") == segments("Lorem ipsum dolor sit amet.") == []
+    assert segments("Это не латинское письмо. 這 不 是. La casa се duerme.") == ["La casa се duerme."]
     assert segments("La casa azul duerme… El perro negro la") == ["La casa azul duerme", "El perro negro la"]
 
 
