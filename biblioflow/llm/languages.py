@@ -59,7 +59,7 @@ def segments(text: str | None) -> list[str]:
     found = []
     for s in SENTENCE.split(TITLE.sub(" ", text)):
         s = CUT.sub("", s).strip()
-        if len(LETTERS.findall(s)) >= LEAST_WORDS and (s.isascii() or 2 * len(FOREIGN.findall(s)) <= sum(map(str.isalpha, s))):
+        if len(LETTERS.findall(s)) >= LEAST_WORDS and (not (other := FOREIGN.findall(s)) or 2 * len(other) <= sum(map(str.isalpha, s))):
             found.append(s)
     return found
 
@@ -104,12 +104,10 @@ def cleaned(labelled: dict[str, list[list[str]]], rounds: int = 4) -> dict[str,
         parser = CrossParser({label: take(v, TRAIN_CHARS) for label, v in sure.items()})
         bits, lengths = parser.phrases([s for t in texts for s in t])
         bits = bits * lengths[:, None]
-        votes, at = defaultdict(lambda: np.zeros(len(labels))), 0
-        for t in texts:
-            best, _ = decide(bits[at : at + len(t)], parser.bits, slack=4)
-            at += len(t)
-            for s, k in zip(t, best, strict=True):
-                votes[s][k] += s in rest
+        votes = defaultdict(lambda: np.zeros(len(labels)))
+        best, _ = decide(bits, parser.bits, [len(t) for t in texts], slack=4)
+        for s, k in zip((s for t in texts for s in t), best, strict=True):
+            votes[s][k] += s in rest
         for s in sorted(rest):
             sure[labels[votes[s].argmax()]].insert(0, s)
     return sure
@@ -149,19 +147,23 @@ def fit(texts: DataFrame, text: str, label: str) -> tuple[tuple[str, tuple[str,
     return training_text(labelled)
 
 
-def decide(bits: np.ndarray, phrase: np.ndarray, slack: float = 1.05) -> tuple[np.ndarray, np.ndarray]:
-    """Language of each segment of one text, and its probability, from the bits it takes in each language.
+def decide(bits: np.ndarray, phrase: np.ndarray, sizes: list[int], slack: float = 1.05) -> tuple[np.ndarray, np.ndarray]:
+    """Language of each segment, and its probability, from the bits it takes in each language; `sizes` are the segments
+    of each text, all positive.
 
     Between languages no further apart than one phrase (`slack`), the one that the whole text takes fewest bits in holds.
     """
-    whole = bits.sum(axis=0)
-    best = bits.argmin(axis=1)
-    main = int(whole.argmin())
-    near = bits[:, main] - bits.min(axis=1) <= phrase[main] * slack
-    best = np.where(near, main, best)
+    if not len(bits):
+        return np.zeros(0, dtype=int), np.zeros(0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    whole = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int), axis=0)
+    main, rows = whole.argmin(axis=1)[owner], np.arange(len(bits))
+    least = bits.min(axis=1)
+    best = np.where(bits[rows, main] - least <= phrase[main] * slack, main, bits.argmin(axis=1))
     # Phrases aren't independent evidence: a quarter of their bits counts, and the whole text weighs in for ties.
-    odds = np.exp2(-np.minimum((bits - bits.min(axis=1, keepdims=True)) / 4, 60)) * np.exp2(-np.minimum((whole - whole.min()) / 16, 2))
-    return best, (odds / odds.sum(axis=1, keepdims=True))[np.arange(len(best)), best]
+    tie = np.exp2(-np.minimum((whole - whole.min(axis=1, keepdims=True)) / 16, 2))[owner]
+    odds = np.exp2(-np.minimum((bits - least[:, None]) / 4, 60)) * tie
+    return best, odds[rows, best] / odds.sum(axis=1)
 
 
 SCHEMA = "key long, label string, stretch int, language string, confidence double, words int, text string"
@@ -187,12 +189,14 @@ def language_stretches(texts: DataFrame, key: str, text: str, label: str) -> Dat
             parts = [segments(t) for t in batch["text"]]
             place = {s: k for k, s in enumerate(dict.fromkeys(s for p in parts for s in p))}  # each different sentence is parsed once
             bits, lengths = parser.phrases(list(place))
-            bits = bits * lengths[:, None]
-            rows = []
-            for key_, code, part in zip(batch["key"], batch["label"], parts, strict=True):
-                if part and parser.labels:
-                    own = bits[[place[s] for s in part]]
-                    rows += [(key_, code, n, *x) for n, x in enumerate(stretches(part, *decide(own, parser.bits), parser.labels))]
+            rows, at = [], 0
+            if parser.labels:
+                best, sure = decide((bits * lengths[:, None])[[place[s] for p in parts for s in p]], parser.bits, [len(p) for p in parts if p])
+                best, sure = best.tolist(), sure.tolist()
+                for key_, code, part in zip(batch["key"], batch["label"], parts, strict=True):
+                    to = at + len(part)
+                    rows += [(key_, code, n, *x) for n, x in enumerate(stretches(part, best[at:to], sure[at:to], parser.labels))]
+                    at = to
             yield pd.DataFrame(rows, columns=["key", "label", "stretch", "language", "confidence", "words", "text"])
 
     rows = texts.select(F.col(key).alias("key"), label_code(F.col(label)).alias("label"), F.col(text).alias("text"))
@@ -200,7 +204,7 @@ def language_stretches(texts: DataFrame, key: str, text: str, label: str) -> Dat
     return found.withColumnRenamed("key", key)
 
 
-def stretches(parts: list[str], best: np.ndarray, sure: np.ndarray, labels: list[str]) -> list[tuple[str, float, int, str]]:
+def stretches(parts: list[str], best: list[int], sure: list[float], labels: list[str]) -> list[tuple[str, float, int, str]]:
     """(language, confidence, words, text) of each run of segments in one language."""
     out: list[list] = []
     for s, k, p in zip(parts, best, sure, strict=True):
@@ -211,7 +215,7 @@ def stretches(parts: list[str], best: np.ndarray, sure: np.ndarray, labels: list
             out[-1][3].append(s)
         else:
             out.append([labels[k], p * n, n, [s]])
-    return [(lang, float(p / n), n, " ".join(s)) for lang, p, n, s in out]
+    return [(lang, p / n, n, " ".join(s)) for lang, p, n, s in out]
 
 
 def languages_present(texts: DataFrame, key: str, text: str, label: str) -> DataFrame:
