@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblioflow.llm.components import components
-from biblioflow.llm.names import Name, agreement, is_weak, parse, scanned
+from biblioflow.llm.names import Lexicon, Name, agreement, is_weak, lexicon, readings, scanned, slots
 from biblioflow.sources.shared import checkpointed
 
 SUFFIX = 4  # letters of a token suffix (or beginning) that two spellings must share: an error in the middle of nine leaves four
@@ -18,29 +18,63 @@ COMMON = 400  # spellings from which on a suffix is too common and what it leave
 LEFT_OUT = 0.305  # share of a surname's letters that one of ratio 0.82 may lack
 LONG = 17  # letters from which on surnames of a common suffix meet whatever the rest is: leaving out more than four is too many keys
 SECOND_SHARE, SECOND_LEAST = 0.001, 4  # of all names, and of different surnames, that a usual second surname goes with
+GIVEN_SHARE, GIVEN_LEAST, GIVEN_ODDS = 0.0001, 4, 3  # of all names, and of different surnames, that a given name goes with, and how much oftener than it is one
 PARTS = "surname string, given string, middle string, second string, organisation boolean, weak boolean"
 
 
-def parsed_names(names: DataFrame, name: str, families: frozenset[str] = frozenset()) -> DataFrame:
-    """(name, surname, given, middle, second, organisation, weak): the parts of each name that means somebody."""
+def parsed_names(names: DataFrame, name: str, lex: Lexicon | None = None) -> DataFrame:
+    """(name, reading, surname, given, middle, second, organisation, weak): the parts of each name that means somebody.
+
+    `reading` 0 is the likeliest; a name of which nothing tells the given names from the surnames has another one.
+    """
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(x, *p, is_weak(p)) for x in batch["name"] if (p := parse(x, families))]
-            yield pd.DataFrame(rows, columns=["name", "surname", "given", "middle", "second", "organisation", "weak"])
+            rows = [(x, k, *p, is_weak(p, lex)) for x in batch["name"] for k, p in enumerate(readings(x, lex))]
+            yield pd.DataFrame(rows, columns=["name", "reading", "surname", "given", "middle", "second", "organisation", "weak"])
 
-    return names.select(F.col(name).alias("name")).mapInPandas(parts, f"name string, {PARTS}")
+    return names.select(F.col(name).alias("name")).mapInPandas(parts, f"name string, reading int, {PARTS}")
+
+
+def given_names(names: DataFrame, name: str, total: int) -> frozenset[str]:
+    """Tokens that stand where given names do ("Surname, Given", "Given ... Surname") beside many different surnames, and
+    seldom where surnames do: at most a few for each 1 / GIVEN_SHARE of the names. Typing errors and short forms of a commoner one are none.
+    """
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([x for n in batch["name"] for x in slots(n)], columns=["token", "slot", "partner"])
+
+    seen = names.select(F.col(name).alias("name")).mapInPandas(ends, "token string, slot string, partner string").distinct()
+    counts = seen.groupBy("token").agg(F.sum((F.col("slot") == "g").cast("int")).alias("g"), F.sum((F.col("slot") == "s").cast("int")).alias("s"))
+    usual = counts.where((F.col("g") >= max(GIVEN_LEAST, GIVEN_SHARE * total)) & (F.col("g") >= GIVEN_ODDS * F.col("s")))
+    kept: set[str] = set()
+    lex = Lexicon()
+    for r in usual.orderBy(F.desc("g"), "token").collect():
+        # Commoner ones come first.
+        short = len(r.token) <= 4 and any(n.startswith(r.token) for n in kept)
+        if not short and lex.known(r.token) is None:
+            kept.add(r.token)
+            lex.add(r.token)
+    return frozenset(kept)
 
 
 def second_surnames(parsed: DataFrame, total: int) -> frozenset[str]:
     """Tokens that follow many different surnames and seldom are one: at most 1 / SECOND_SHARE of them."""
-    people = parsed.where("not organisation")
+    people = parsed.where("not organisation and reading = 0")
     after = people.where("length(second) > 2").groupBy("second").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.substring("surname", 1, 4)).alias("partners"))
     usual = after.where((F.col("partners") >= max(SECOND_LEAST, SECOND_SHARE * total)))
     first = people.where("second <> ''").groupBy(F.col("surname").alias("second")).agg(F.count(F.lit(1)).alias("own"))
     return frozenset(r.second for r in usual.join(first, "second", "left").where("n >= 4 * coalesce(own, 0)").select("second").collect())
 
 
+def learned(names: DataFrame, name: str) -> Lexicon:
+    """The lexicon of a column of distinct names, counted over all of them."""
+    total = names.count()
+    given = given_names(names, name, total)
+    return lexicon(given, second_surnames(parsed_names(names, name, lexicon(given)), total))
+
+
 def remainders(surname: str, from_start: bool) -> list[str]:
     """What a surname has besides one end, with as many letters left out as errors may cost: alike ones share one.
 
@@ -69,7 +103,7 @@ def _keys(nodes: DataFrame) -> DataFrame:
     A typing error leaves one end of a surname whole. Suffixes that remain common with the initial aren't dropped but
     ask for a like surname: pairs of surnames that share a remainder are the keys, found over distinct surnames.
     """
-    known = nodes.where("given <> '' and surname <> ''")
+    known = nodes.where("surname <> ''")
     initial = F.substring("given", 1, 1)
     ends = F.array(F.concat(F.lit("<"), F.substring("surname", 1, SUFFIX)), F.concat(F.lit(">"), F.substring(F.col("surname"), -SUFFIX, SUFFIX)))
     each = known.withColumn("__end", F.explode(F.array_distinct(ends))).withColumn("__key", F.concat_ws("|", "__end", initial))
@@ -97,17 +131,17 @@ def _level(a: str, b: str) -> Column:
 def variant_groups(names: DataFrame, name: str) -> DataFrame:
     """(name, group_id): every name that means somebody, with the group of spellings that mean the same one.
 
-    Names are taken apart (order, initials, short forms, honorifics, scanning errors); spellings with the same parts
-    are one node, however many there are. Nodes meet under suffixes and beginnings of their surname and the initial,
+    Names are taken apart (order, initials, short forms, honorifics, scanning errors) by what all of them teach about
+    given names and second surnames; where nothing tells the two apart, both readings hold. Spellings with the same
+    parts are one node, however many there are. Nodes meet under suffixes and beginnings of their surname and the initial,
     and are compared part by part, surnames by longest-common-subsequence ratio. Nodes with a full given name form
     components; one that only has an initial joins the one component it fits, and none if it fits several persons.
     Nulls, empty strings and placeholders mean nobody and have no row; repeated names have one.
     """
     distinct = checkpointed(names.select(F.col(name).alias("name")).where("name is not null").distinct())
-    total = distinct.count()
-    families = second_surnames(parsed_names(distinct, "name"), total)
+    lex = learned(distinct, "name")
     parts = ["surname", "given", "middle", "second", "organisation"]
-    parsed = checkpointed(parsed_names(distinct, "name", families).withColumn("node", F.concat_ws("|", *(F.col(p).cast("string") for p in parts))))
+    parsed = checkpointed(parsed_names(distinct, "name", lex).withColumn("node", F.concat_ws("|", *(F.col(p).cast("string") for p in parts))))
     spellings = parsed.groupBy("surname").agg(F.count(F.lit(1)).cast("int").alias("spellings"))
     nodes = checkpointed(parsed.select("node", *parts, "weak").distinct().join(spellings, "surname"))
     keyed = _keys(nodes).select("__key", F.struct("node", *parts, "weak", "spellings").alias("x"))
@@ -115,7 +149,9 @@ def variant_groups(names: DataFrame, name: str) -> DataFrame:
     links = checkpointed(
         pairs.withColumn("level", _level("x", "y")).where("level > 0").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.weak").alias("weak_a"), F.col("y.weak").alias("weak_b"), "level")
     )
-    strong = components(links.where("level = 2 and not weak_a and not weak_b"))
+    # The readings of one name are one.
+    also = parsed.where("reading > 0").select("name", F.col("node").alias("b")).join(parsed.where("reading = 0").select("name", F.col("node").alias("a")), "name").select("a", "b").distinct()
+    strong = components(links.where("level = 2 and not weak_a and not weak_b").select("a", "b").unionByName(also))
     strong = nodes.where("not weak").select("node").join(strong, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     mixed = links.where("weak_a <> weak_b").select(F.when(F.col("weak_a"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.col("weak_a"), F.col("b")).otherwise(F.col("a")).alias("to"))
     fits = mixed.join(strong.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("component"), F.max("component").alias("other"))
@@ -124,7 +160,7 @@ def variant_groups(names: DataFrame, name: str) -> DataFrame:
     rest = alone.join(components(both_alone), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     # A node that fits several persons gets none of them, and no group.
     group = strong.unionByName(fits.where("component = other").select("node", "component")).unionByName(rest)
-    return parsed.select("name", "node").join(group, "node").select("name", F.sha2("component", 256).alias("group_id"))
+    return parsed.where("reading = 0").select("name", "node").join(group, "node").select("name", F.sha2("component", 256).alias("group_id"))
 
 
 def variant_pairs(names: DataFrame, name: str) -> DataFrame:

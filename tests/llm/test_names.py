@@ -2,10 +2,10 @@ import random
 
 from biblioflow.llm import variants
 from biblioflow.llm.components import components
-from biblioflow.llm.names import agreement, lcs, parse, ratio
+from biblioflow.llm.names import agreement, lcs, lexicon, parse, ratio, readings
 from biblioflow.llm.variants import variant_groups, variant_pairs
 
-FAMILIES = frozenset({"plenosa", "zumalde"})
+FAMILIES = lexicon(frozenset({"etienne", "karl"}), frozenset({"plenosa", "zumalde"}))
 RUIBOL = ["Francisco James Brutraflavil", "Brutraflavil, francisco", "Dr. Francisco Brutraflavil", "por Paco Brutraflavil", "Francisco_Brutraflavil", "Francisco, Brutraflavil", "FJ Brutraflavil", "Brutraflavil Francisco (Autor)", "Franc1sco Brutraf1avil", "Francisco Brutarflavil"]
 
 
@@ -44,6 +44,33 @@ def test_agreement():
         assert agreement(first, parse(other, FAMILIES)) == 0
 
 
+def best(a, b):
+    return max((agreement(x, y) for x in readings(a) for y in readings(b)), default=0)
+
+
+def test_names_outside_any_list():
+    pairs = [("Hiroshi Tanaka", "Tanaka Hiroshi"), ("Daniel Petrov", "Petrov Daniel"), ("Gabriel García Márquez", "García Márquez, Gabriel"), ("Cervantes", "Cervantez"), ("Pérez, Juan", "Juan Pérez"), ("Tanaka, Hiroshi", "Hiroshi Tanaka")]
+    assert all(best(a, b) == 2 for a, b in pairs)
+    assert best("Michael Johnson", "Mike Johnson") == 2 and best("Jennifer Smith", "Jenny Smith") == 1 and best("Daniel Petrov", "Danny Petrov") == 1
+    assert not any(best(a, b) for a, b in [("Hiroshi Tanaka", "Kenji Tanaka"), ("Gabriel García Márquez", "Juan García Márquez"), ("Cervantes", "Miguel Cervantes"), ("Jennifer Smith", "Jessica Smith"), ("Homer", "Hesse")])
+
+
+def test_learned_names(spark):
+    given, surnames = ["hiroshi", "aiko", "daisuke", "ilse", "bruno"], [f"{a}{b}moto" for a in "kstnhm" for b in "aiueo"]
+    r = random.Random(2)
+    names = [f"{g} {s}".title() for g in given for s in r.sample(surnames, 12)] + [f"{s}, {g}".title() for g in given for s in r.sample(surnames, 3)] + ["Ilse Aiko Kamoto", "Fundación Kamoto", "Hirosh Tumoto"]
+    lex = variants.learned(spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    assert lex.given == set(given)
+    assert parse("Kamoto Aiko", lex)[:2] == ("kamoto", "aiko") and parse("Ilse Aiko Kamoto", lex)[:3] == ("kamoto", "ilse", "aiko") and lex.known("hirosh") == "hiroshi"
+    assert variants.learned(spark.createDataFrame([], "name string"), "name").given == frozenset()
+
+
+def test_groups_outside_any_list(spark):
+    names = ["Hiroshi Tanaka", "Tanaka Hiroshi", "Tanaka, Hiroshi", "Kenji Tanaka", "Gabriel García Márquez", "García Márquez, Gabriel", "Mike Johnson", "Michael Johnson", "Jennifer Smith", "Jenny Smith", "Cervantes", "Cervantez"]
+    got = {tuple(r) for r in variant_pairs(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect()}
+    assert got == {tuple(sorted(p)) for p in [names[:2], names[1:3], (names[0], names[2]), names[4:6], names[6:8], names[8:10], names[10:12]]}
+
+
 def test_groups(spark):
     relatives = ["Ximena Brutraflavil", "X. Brutraflavil", "Jesús Brusudrivun", "José Brusudrivun", "J. Brusudrivun", "Pepe Brusudrivun"]
     rows = [(n, 1) for n in [*RUIBOL, *relatives, "Unknown", "", None, "AA. VV.", RUIBOL[0], "x" * 5000]]
