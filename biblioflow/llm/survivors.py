@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_STATES = 1_000  # values of the precedence attribute that are ranked; further ones rank lowest
-
 # What stands in place of a description, and words of shop notices.
 NO_DESCRIPTION = ["", ".", "-", "n/a", "null", "none", "sin descripción", "sinopsis pendiente", "no description available.", "no description available", "descripción no disponible por el momento.", "lorem ipsum dolor sit amet."]
 NOTICE = r"(?iu)\b(epub|mobi|descuento|discount|tarjeta|transferencia|bank transfer|envíos|dispatched|tienda|our (?:store|shop)|devolución|returns policy|dispositivos de lectura|reading devices)\b"
 CUT_END = r"(?u)(\(más\)|\(more\)|\[\.{3}\]|\[…\]|leer más|read more|…|\.{3})\s*$"
 WHOLE_END = r"[.!?][\"'»”’)\]]*$"
 GARBLED = "[ÂÃâ][\u0080-¿ŒœŠšŸŽž–-•…€™]|�"
-# The words by which a publishing house's full name is known, and names that are none.
-HOUSE = r"^(?:Editorial|Ediciones|Grupo Editorial|Librería y Editorial) \p{L}{2,}$|^\p{L}{2,} (?:Publishing House|Verlagsgesellschaft)$"
-SHORT_HOUSE = r"^(?:(?:Ed|Edit|Lib)\. |G\. E\. |Grupo )?(\p{Lu}\p{L}{2,})$"
+# Names that are no publishing house, words of tools, and dotted words that a full name may have.
+NO_HOUSE = ["", "-", "n/a", "null", "none", "unknown", "desconocido", "desconocida", "sin editorial", "no publisher"]
+TOOL = r"(?iu)\d|convert|convers|generad|generated|build|maker|packer|epub"
+DOTTED = r"(?iu)^(?:st|dr|mr|mrs|co|inc|ltd|s\.a|s\.l)\.$"
+BARE = r"^(?:\S*\. )*(\p{Lu}\p{L}{2,})$"  # "X", "Ed. X", "G. E. X": the short form of a house
 # Shelves of readers, which aren't subjects.
 SHELVES = ["my-books", "owned-books", "library", "kindle", "audiobook", "audiobooks", "favorites", "favourites", "currently-reading", "wish-list", "wishlist", "to-read", "owned", "ebooks", "ebook", "e-book", "books", "default"]
 SHELF = r"^read-in-\d{4}$|^\d+$"
@@ -49,10 +48,17 @@ def description_quality(c: Column) -> Column:
     return F.when(~bad, F.length(text).cast("double"))
 
 
-def publisher_quality(c: Column) -> Column:
-    """Length of a publishing house's full name; null for placeholders, abbreviations, and tools."""
-    name = F.trim(c)
-    return F.when(name.rlike(HOUSE), F.length(name).cast("double"))
+def publisher_name(c: Column) -> Column:
+    """A publisher's name that isn't seen to be short by itself; null for placeholders, tools, dotted abbreviations and marks of a cut."""
+    name = F.regexp_replace(F.trim(c), r"\s+", " ")
+    dotted = F.exists(F.split(name, " "), lambda t: t.endswith(".") & ~t.rlike(DOTTED))
+    return F.when(~(F.lower(name).isin(NO_HOUSE) | name.rlike(TOOL) | dotted | name.rlike(CUT_END)) & name.rlike(r"\p{L}{2}"), name)
+
+
+def publisher_quality(c: Column, short: Column | None = None) -> Column:
+    """Length of a publishing house's name, null for none; `short` says that it is known to be a short form (`short_names`)."""
+    name = publisher_name(c)
+    return F.when(name.isNotNull() if short is None else name.isNotNull() & ~short, F.length(name).cast("double"))
 
 
 def page_count_quality(c: Column) -> Column:
@@ -68,23 +74,19 @@ def subjects_quality(c: Column) -> Column:
     return F.when(n > 0, n.cast("double"))
 
 
-def precedence(rows: DataFrame, group: str, state: str, time: str) -> dict[str, float]:
-    """Rank of each value of `state` by how it follows the others within groups, learned from the rows with a time.
+def precedence(rows: DataFrame, group: str, state: str, time: str) -> DataFrame:
+    """(state, rank): how each value of `state` follows the others within groups, learned from the rows with a time.
 
     A value precedes another in a group if its last time there is before the other's first. The value that more
     groups put later than another wins against it; values are ranked by their share of the others they win against,
-    which is a topological order wherever there is one, and breaks cycles where there isn't.
+    which is a topological order wherever there is one, and breaks cycles where there isn't. Groups are reduced to
+    the first and last time of each value before any are compared, and the counts stay distributed.
     """
-    spans = rows.where(F.col(time).isNotNull() & F.col(state).isNotNull() & F.col(group).isNotNull()).groupBy(group, state).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    states = [r[0] for r in spans.groupBy(state).count().orderBy(F.desc("count"), state).limit(MOST_STATES).collect()]
-    # A group has at most MOST_STATES spans by now.
-    each = spans.where(F.col(state).isin(states)).groupBy(group).agg(F.collect_list(F.struct(F.col(state).alias("s"), "lo", "hi")).alias("x"))
-    pairs = each.select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b")).where("a.hi < b.lo")
-    wins: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    for r in pairs.groupBy(F.col("a.s").alias("a"), F.col("b.s").alias("b")).count().collect():
-        wins[r.b][r.a] = r["count"]
-    met = {s: {t for t in states if wins[s][t] + wins[t][s]} for s in states}
-    return {s: sum(wins[s][t] > wins[t][s] for t in met[s]) / len(met[s]) if met[s] else 0.0 for s in states}
+    spans = rows.where(F.col(time).isNotNull() & F.col(state).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(state).alias("s")).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
+    a, b = spans.select("g", F.col("s").alias("a"), "hi"), spans.select("g", F.col("s").alias("b"), "lo")
+    pairs = a.join(b, "g").where("hi < lo").groupBy("a", "b").count()
+    wins = pairs.select("a", "b", F.col("count").alias("n")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("count")).alias("n"))).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return wins.groupBy(F.col("b").alias("state")).agg(F.avg((F.col("n") > 0).cast("double")).alias("rank"))
 
 
 def surviving_values(rows: DataFrame, group: str, record: str, fields: list[Field], state: str, time: str) -> DataFrame:
@@ -97,11 +99,12 @@ def surviving_values(rows: DataFrame, group: str, record: str, fields: list[Fiel
     map-side partial results over all fields, in which no text is moved, so a hot group is no hot task. Rows without
     a group or record are left out; repeated rows count once; a field without usable value gives no row.
     """
-    ranks = precedence(rows, group, state, time)
-    rank = F.create_map(*(F.lit(x) for s, r in ranks.items() for x in (s, r)))[F.col(state)] if ranks else F.lit(None).cast("double")
     known = rows.where(F.col(group).isNotNull() & F.col(record).isNotNull()).select(
-        F.col(group).alias("__g"), F.col(record).alias("__r"), F.col(time).alias("__t"), F.coalesce(rank, F.lit(-1.0)).alias("__k"), *(f.quality.alias(f"__q{i}") for i, f in enumerate(fields))
+        F.col(group).alias("__g"), F.col(record).alias("__r"), F.col(time).alias("__t"), F.col(state).alias("__s"), F.lit(-1.0).alias("__k"), *(f.quality.alias(f"__q{i}") for i, f in enumerate(fields))
     )
+    if not known.where("__t is null").isEmpty():  # without such records times decide alone
+        ranks = precedence(rows, group, state, time).select(F.col("state").alias("__s"), "rank")
+        known = known.join(ranks, "__s", "left").withColumn("__k", F.coalesce("rank", F.lit(-1.0)))
     best = []
     for i in range(len(fields)):
         q = F.col(f"__q{i}")
@@ -119,14 +122,23 @@ def surviving_values(rows: DataFrame, group: str, record: str, fields: list[Fiel
     return out.select(group, "__x.field", F.col("__x.record").alias(record)).where(F.col(record).isNotNull())
 
 
-def cut_off_names(names: DataFrame, name: str) -> DataFrame:
-    """Distinct full-form house names that are the beginning of another at least as frequent, and whose own short
-    form ("Ed. X", "X") occurs nowhere: names that were cut off without a mark."""
-    c = F.trim(F.col(name))
-    counts = names.where(c.isNotNull()).groupBy(c.alias("__n")).count()
-    houses = counts.where(F.col("__n").rlike(HOUSE))
-    least = F.length(F.regexp_extract("__n", r"^(?:Editorial|Ediciones|Grupo Editorial|Librería y Editorial) ", 0)) + 1
-    longer = houses.where(least > 1).select(F.col("count").alias("__more"), F.explode(F.transform(F.sequence(least, F.greatest(least, F.length("__n") - 1)), lambda k: F.substring(F.col("__n"), F.lit(1), k))).alias("__n"), F.col("__n").alias("__of"))
-    cut = longer.where("__n <> __of").groupBy("__n").agg(F.max("__more").alias("__more")).join(houses, "__n").where("__more >= count").select("__n")
-    stems = counts.select(F.regexp_extract("__n", SHORT_HOUSE, 1).alias("__stem")).where("__stem <> ''").distinct()
-    return cut.withColumn("__stem", F.element_at(F.split("__n", " "), -1)).join(stems, "__stem", "left_anti").select(F.col("__n").alias(name))
+def short_names(names: DataFrame, name: str) -> DataFrame:
+    """Distinct names of houses (`publisher_name`) that other names show to be short forms:
+
+    one word that stands in a longer name; a longer name without a run of its inner words; and the beginning of a name
+    at least as frequent, cut off without a mark, unless its own last word is a short form in use ("Ed. X", "X").
+    Every name is compared through its own parts, so the work grows with the number of different names.
+    """
+    each = names.groupBy(F.trim(F.col(name)).alias("__raw")).count()
+    counts = each.select(publisher_name(F.col("__raw")).alias("__n"), "count").where("__n is not null").groupBy("__n").agg(F.sum("count").alias("count"))
+    longer = counts.select("__n", "count", F.split("__n", " ").alias("__t")).where("size(__t) > 1")
+    words = longer.select(F.explode("__t").alias("__n"))
+    # A run of inner words from place i on, j of them, left out.
+    inner = F.expr("flatten(transform(sequence(2, size(__t) - 1), i -> transform(sequence(1, size(__t) - i), j -> concat_ws(' ', slice(__t, 1, i - 1), slice(__t, i + j, size(__t))))))")
+    without = longer.where("size(__t) > 2").select(F.explode(inner).alias("__n"))
+    least = F.length(F.element_at("__t", 1)) + 2
+    begun = longer.where(F.length("__n") > least).select(F.col("count").alias("__more"), F.explode(F.transform(F.sequence(least, F.length("__n") - 1), lambda k: F.rtrim(F.substring(F.col("__n"), F.lit(1), k)))).alias("__n"))
+    cut = begun.groupBy("__n").agg(F.max("__more").alias("__more")).join(counts, "__n").where("__more >= count").select("__n", F.element_at(F.split("__n", " "), -1).alias("__stem"))
+    stems = each.select(F.regexp_extract("__raw", BARE, 1).alias("__stem")).where("__stem <> ''").distinct()
+    cut = cut.join(stems, "__stem", "left_anti").select("__n")
+    return words.unionByName(without).unionByName(cut).distinct().join(counts, "__n", "left_semi").select(F.col("__n").alias(name))

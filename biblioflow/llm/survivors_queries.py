@@ -12,18 +12,17 @@ from biblioflow.sources.tables import read_table
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each file with several records and each field, the record whose value survives."""
     rows = read_table(spark, sf_dir, "book_metadata").select("source_hash", "record_id", "source", "fetched_at", "description", "publisher", "page_count", "subjects")
+    short = s.short_names(rows, "publisher").select(F.col("publisher").alias("__name"), F.lit(True).alias("short"))
+    # Rows without a house's name are spread, so that they don't meet in one task.
+    name = F.coalesce(s.publisher_name(F.col("publisher")), F.concat(F.lit("\n"), F.pmod(F.hash("record_id"), F.lit(10_000))))
+    rows = rows.withColumn("__name", name).join(short, "__name", "left")
     fields = [
         s.Field("description", s.description_quality(F.col("description"))),
-        s.Field("publisher", s.publisher_quality(F.col("publisher"))),
+        s.Field("publisher", s.publisher_quality(F.col("publisher"), F.coalesce("short", F.lit(False)))),
         s.Field("page_count", s.page_count_quality(F.col("page_count"))),
         s.Field("subjects", s.subjects_quality(F.col("subjects"))),
     ]
-    best = s.surviving_values(rows, "source_hash", "record_id", fields, "source", "fetched_at")
-    # The longest name of a group is whole unless the whole group has it cut off.
-    cut = s.cut_off_names(rows, "publisher")
-    names = rows.where(s.publisher_quality(F.col("publisher")).isNotNull()).select("record_id", F.trim("publisher").alias("publisher"))
-    unusable = names.join(cut, "publisher").select("record_id", F.lit("publisher").alias("field")).distinct()
-    return best.join(unusable, ["record_id", "field"], "left_anti").select("source_hash", "field", "record_id")
+    return s.surviving_values(rows, "source_hash", "record_id", fields, "source", "fetched_at").select("source_hash", "field", "record_id")
 
 
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
