@@ -55,10 +55,9 @@ def publisher_name(c: Column) -> Column:
     return F.when(~(F.lower(name).isin(NO_HOUSE) | name.rlike(TOOL) | dotted | name.rlike(CUT_END)) & name.rlike(r"\p{L}{2}"), name)
 
 
-def publisher_quality(c: Column, short: Column | None = None) -> Column:
-    """Length of a publishing house's name, null for none; `short` says that it is known to be a short form (`short_names`)."""
-    name = publisher_name(c)
-    return F.when(name.isNotNull() if short is None else name.isNotNull() & ~short, F.length(name).cast("double"))
+def publisher_quality(c: Column) -> Column:
+    """Length of a publishing house's name, null for none. Whether it is a short form, other names tell (`short_names`)."""
+    return F.length(publisher_name(c)).cast("double")
 
 
 def page_count_quality(c: Column) -> Column:

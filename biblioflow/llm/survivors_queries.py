@@ -12,17 +12,15 @@ from biblioflow.sources.tables import read_table
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each file with several records and each field, the record whose value survives."""
     rows = read_table(spark, sf_dir, "book_metadata").select("source_hash", "record_id", "source", "fetched_at", "description", "publisher", "page_count", "subjects")
-    short = s.short_names(rows, "publisher").select(F.col("publisher").alias("__name"), F.lit(True).alias("short"))
-    # Rows without a house's name are spread, so that they don't meet in one task.
+    short = s.short_names(rows, "publisher").select(F.col("publisher").alias("name"), F.lit(True).alias("short"))
+    # Rows without a house's name are spread, so that they don't meet in one task; no text moves, only how good it is.
     name = F.coalesce(s.publisher_name(F.col("publisher")), F.concat(F.lit("\n"), F.pmod(F.hash("record_id"), F.lit(10_000))))
-    rows = rows.withColumn("__name", name).join(short, "__name", "left")
-    fields = [
-        s.Field("description", s.description_quality(F.col("description"))),
-        s.Field("publisher", s.publisher_quality(F.col("publisher"), F.coalesce("short", F.lit(False)))),
-        s.Field("page_count", s.page_count_quality(F.col("page_count"))),
-        s.Field("subjects", s.subjects_quality(F.col("subjects"))),
-    ]
-    return s.surviving_values(rows, "source_hash", "record_id", fields, "source", "fetched_at").select("source_hash", "field", "record_id")
+    judged = rows.select(
+        "source_hash", "record_id", "source", "fetched_at", name.alias("name"), s.publisher_quality(F.col("publisher")).alias("publisher"), s.description_quality(F.col("description")).alias("description"),
+        s.page_count_quality(F.col("page_count")).alias("page_count"), s.subjects_quality(F.col("subjects")).alias("subjects"),
+    ).join(short, "name", "left")
+    fields = [s.Field("publisher", F.when(F.col("short").isNull(), F.col("publisher"))), *(s.Field(f, F.col(f)) for f in ("description", "page_count", "subjects"))]
+    return s.surviving_values(judged, "source_hash", "record_id", fields, "source", "fetched_at").select("source_hash", "field", "record_id")
 
 
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
