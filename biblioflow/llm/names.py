@@ -99,7 +99,15 @@ class Lexicon:
         self.names = set(GIVEN) | given
         self.beginnings = {n[:k] for n in self.names for k in range(1, 5)}
         self._ends, self._known = self._by_end(self.names), {}
-        self._family_ends, self._second = self._by_end(families), {}
+        self._family_ends, self._second, self._read = self._by_end(families), {}, {}
+
+    def read(self, name: str) -> list[Name]:
+        """`readings`, kept for names that come again."""
+        if name not in self._read:
+            if len(self._read) > 1 << 16:
+                self._read.clear()
+            self._read[name] = readings(name, self)
+        return self._read[name]
 
     def add(self, name: str) -> None:
         """One more given name."""
