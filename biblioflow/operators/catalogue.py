@@ -21,6 +21,11 @@ def under(listing: DataFrame, *prefixes: str) -> DataFrame:
     return listing.where(wanted)
 
 
+def at_key(listing: DataFrame, key: str) -> DataFrame:
+    """The object of one key, or no row; the comparison reaches the scan."""
+    return listing.where(F.col("key") == key)
+
+
 def is_book(key: Column) -> Column:
     """Whether a key ends with the book extension, in any case."""
     return F.lower(key).endswith(BOOK)

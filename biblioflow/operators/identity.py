@@ -23,8 +23,8 @@ def find_existing(uploads: DataFrame, index: DataFrame, stored: DataFrame) -> Da
     """(upload_id, key, matched_by): the stored book of each upload (upload_id, source_hash, original_name, isbn).
 
     The index holds if the book it names is still stored. Otherwise the first stored book, in the order of the listing
-    (`at`), that has the same hash, the same original name in normal form, or the same ISBN: three equi-joins whose
-    hits are reduced to the first before they meet. Nulls and empty values match nothing; an upload without a match
+    (`at`), that has the same hash or the same original name in normal form, and only if there is none, the first of
+    the same ISBN: three equi-joins whose hits are reduced to the first before they meet. Nulls and empty values match nothing; an upload without a match
     has null. `stored` has (key, at, source_hash, original_name, isbn).
     """
     up = uploads.withColumn("__name", present(normalize_file_name(F.col("original_name"))))
@@ -37,6 +37,6 @@ def find_existing(uploads: DataFrame, index: DataFrame, stored: DataFrame) -> Da
         firsts = hit if firsts is None else firsts.unionByName(hit)
     order = {"hash": 0, "name": 1, "isbn": 2}
     rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))[F.col("by")]
-    best = firsts.groupBy("upload_id").agg(F.min(F.struct("at", rank.alias("rank"), "key", "by")).alias("__b"))
+    best = firsts.groupBy("upload_id").agg(F.min(F.struct((F.col("by") == "isbn").alias("retry"), "at", rank.alias("rank"), "key", "by")).alias("__b"))
     found = up.join(alive, "source_hash", "left").join(best, "upload_id", "left")
     return found.select("upload_id", F.coalesce("__indexed", "__b.key").alias("key"), F.when(F.col("__indexed").isNotNull(), "index").otherwise(F.col("__b.by")).alias("matched_by"))

@@ -46,6 +46,17 @@ def sync_counts(status: DataFrame, kind: str) -> DataFrame:
     return status.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("remote"), count("new", "updated").alias("downloaded"), count("updated").alias("updated"), count("unchanged").alias("unchanged"), count("failed").alias("failed"))
 
 
+def sync_errors(status: DataFrame, kind: str) -> DataFrame:
+    """(kind, key, error): why each failed entry failed, its name (or key, if it has none) in front."""
+    failed = status.where("status = 'failed'")
+    return failed.select(F.lit(kind).alias("kind"), "key", F.concat_ws(": ", F.lit(kind), F.coalesce("name", "key"), F.when(F.col("name").isNull(), "no storable name").otherwise("not downloaded")).alias("error"))
+
+
+def every_row_failed(status: DataFrame) -> DataFrame:
+    """What a synchronisation gives whose folder can't be used: nothing is downloaded, every entry fails."""
+    return status.withColumn("status", F.lit("failed"))
+
+
 def file_count(files: DataFrame, pattern: str) -> DataFrame:
     """(files): how many names match, whatever their case."""
     return files.agg(F.count_if(F.lower("file_name").rlike(pattern)).alias("files"))

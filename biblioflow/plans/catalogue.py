@@ -54,8 +54,9 @@ def cat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cat_next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of the next wallpaper, and the name it makes."""
     keys = read_table(spark, sf_dir, "search_documents").select(F.concat(F.lit("wallpapers/wallpaper-"), F.format_string("%03d", F.col("search_id") % 1_000_000), F.lit(".bmp")).alias("key"))
-    return catalogue.next_number(keys, "key", r"wallpaper-(\d+)\.bmp\z")
+    return catalogue.next_number(keys, "key", r"wallpaper-(\d+)\.bmp\z").withColumn("next_name", catalogue.numbered_name(F.col("next_number")))
 
 
 def _remote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,8 @@ def cat_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A scenario: only every fifth stored book is in the index of uploads yet, by record_id; all of them are stored.
     """
-    b = read_table(spark, sf_dir, "book_metadata").select("record_id", "source_hash", "source", "title", "isbn", "loaded_at").dropDuplicates(["record_id"])
+    b = read_table(spark, sf_dir, "book_metadata").select("record_id", "source_hash", "source", "title", "isbn", "loaded_at")
+    b = b.groupBy("record_id").agg(F.max_by(F.struct("source_hash", "source", "title", "isbn"), "loaded_at").alias("r")).select("record_id", "r.*")  # as last delivered
     key = F.concat(F.lit("books/"), F.col("record_id").cast("string"), F.lit(".epub"))
     stored = b.where("source = 'epub'").select(key.alias("key"), F.col("record_id").alias("at"), F.when(F.col("record_id") % 2 == 0, F.col("source_hash")).alias("source_hash"), F.col("title").alias("original_name"), "isbn")
     index = b.where("source = 'epub' and record_id % 5 = 0").select("source_hash", key.alias("key"), F.lit("").alias("variant_key"), F.concat(F.col("record_id").cast("string"), F.lit(".epub")).alias("file_name"))
@@ -131,13 +133,13 @@ ORACLE_SQL = {
     + """ || '</title><id>urn:book:' || key || '</id><updated>' || updated || '</updated>' || CASE WHEN coalesce(author, '') <> '' THEN '<author><name>' || """
     + "replace(replace(replace(replace(replace(author, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
     + """ || '</name></author>' ELSE '' END || '<link rel="http://opds-spec.org/acquisition" type="application/epub+zip" href="' || download_url || '"/></entry>' AS entry FROM facts""",
-    "cat_next_number": "SELECT coalesce(max(search_id % 1000000), -1)::BIGINT + 1 AS next_number FROM search_documents",
+    "cat_next_number": "SELECT coalesce(max(search_id % 1000000), -1)::BIGINT + 1 AS next_number, printf('%03d', coalesce(max(search_id % 1000000), -1)::BIGINT + 1) AS next_name FROM search_documents",
     "sync_status": _LISTING + " SELECT * FROM status",
     "sync_versions": _LISTING + " SELECT key, version FROM status WHERE status IN ('new', 'updated') UNION ALL SELECT key, version FROM stored WHERE key NOT IN (SELECT key FROM status WHERE status IN ('new', 'updated'))",
     "sync_counts": _LISTING
     + " SELECT 'books' AS kind, count(*) AS remote, count(*) FILTER (WHERE status IN ('new', 'updated')) AS downloaded, count(*) FILTER (WHERE status = 'updated') AS updated, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) FILTER (WHERE status = 'failed') AS failed FROM status",
     "cat_identity": rf"""
-WITH b AS (SELECT DISTINCT ON (record_id) *, nullif({_NAME}, '') AS name FROM book_metadata),
+WITH b AS (SELECT *, nullif({_NAME}, '') AS name FROM book_metadata QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) = 1),
 stored AS (SELECT 'books/' || record_id || '.epub' AS key, record_id AS at_, CASE WHEN record_id % 2 = 0 THEN source_hash END AS source_hash, name, nullif(isbn, '') AS isbn FROM b WHERE source = 'epub'),
 idx AS (SELECT source_hash, min('books/' || record_id || '.epub') AS key FROM b WHERE source = 'epub' AND record_id % 5 = 0 GROUP BY 1),
 up AS (SELECT record_id AS upload_id, source_hash, name, nullif(isbn, '') AS isbn FROM b WHERE source IN ('open-library', 'google-books')),
@@ -145,7 +147,7 @@ hits AS (
   SELECT upload_id, at_, 0 AS rank, key, 'hash' AS matched_by FROM up JOIN stored USING (source_hash)
   UNION ALL SELECT upload_id, at_, 1, key, 'name' FROM up JOIN stored USING (name)
   UNION ALL SELECT upload_id, at_, 2, key, 'isbn' FROM up JOIN stored USING (isbn)
-), best AS (SELECT upload_id, arg_min(key, (at_, rank)) AS key, arg_min(matched_by, (at_, rank)) AS matched_by FROM hits GROUP BY 1)
+), best AS (SELECT upload_id, arg_min(key, (rank = 2, at_, rank)) AS key, arg_min(matched_by, (rank = 2, at_, rank)) AS matched_by FROM hits GROUP BY 1)
 SELECT upload_id, coalesce(i.key, best.key) AS key, CASE WHEN i.key IS NOT NULL THEN 'index' ELSE best.matched_by END AS matched_by
 FROM up LEFT JOIN idx i USING (source_hash) LEFT JOIN best USING (upload_id)""",
 }

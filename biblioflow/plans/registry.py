@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from biblioflow.plans import catalogue, resolving, statistics, texts, trailing
+from biblioflow.plans import catalogue, payloads, resolving, statistics, texts, trailing
 
-MODULES = (catalogue, resolving, statistics, texts, trailing)
+MODULES = (catalogue, payloads, resolving, statistics, texts, trailing)
 
 
 def queries() -> dict:
