@@ -109,7 +109,7 @@ def plan(texts: DataFrame, targets: DataFrame, key: str, text: str, source: str,
     within = (F.col("epochs") - F.col("repeats")) * F.col("tokens")
     cut = (
         running.join(F.broadcast(chosen), F.col("__s") == F.col("source"))
-        .where(F.col("__sum") <= within + 1e-6)
+        .where((within > 1e-6) & (F.col("__sum") - F.col("__n") / 2 <= within))  # as near to the fraction as whole slices come
         .groupBy("source")
         .agg(F.max("__slice").alias("last_slice"), F.max("__sum").alias("__part"))
     )

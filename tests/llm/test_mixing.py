@@ -44,6 +44,14 @@ def test_mix(spark):
     assert mixing.mix(*args, seed=2, total=500).count() < len(got)
 
 
+def test_fraction_of_few_documents(spark):
+    docs = spark.createDataFrame([(k, "una dos tres", "a") for k in range(3)] + [(10 + k, "una dos tres", "b") for k in range(40)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    one = mixing.with_tokens(docs).first().tokens
+    shares = {r.source: r for r in mixing.shares(docs, targets, "doc_id", "text", "source", total=4 * one).collect()}
+    assert shares["a"].mixed_tokens == shares["b"].mixed_tokens == 2 * one and mixing.mix(docs, targets, "doc_id", "text", "source", total=4 * one).count() == 4
+
+
 def test_tokens_round_trip(spark):
     t = mixing._tokenizer(mixing.TOKENIZER)
     for x in ("El faro <|endoftext|> ñandú", "日本", "a  b\n"):
