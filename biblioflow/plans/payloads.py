@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioflow.functions.language import language_code
+from biblioflow.functions.dates import iso_or_now, period_of
+from biblioflow.functions.language import MARKERS, is_spanish, language_code, looks_spanish
 from biblioflow.functions.media import extension_of, media_type_of
 from biblioflow.operators import catalogue, sync
 from biblioflow.plans.catalogue import _LISTING, listing, sync_status
-from biblioflow.plans.texts import YEAR, _clean
+from biblioflow.plans.texts import YEAR, _clean, _marks
 from biblioflow.sources import payloads
 from biblioflow.sources.tables import read_table
 
@@ -109,6 +110,26 @@ def fn_media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "book_metadata").select("record_id", extension.alias("extension"), media_type_of(extension).alias("media_type"))
 
 
+def src_spanish_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded metadata as hints for a Spanish edition: what holds of it in any language, and the rest if it is Spanish."""
+    b = _books(spark, sf_dir, "epub")
+    hints = payloads.for_spanish_edition(payloads.metadata(**{f: F.col(f) for f in payloads.FIELDS}), is_spanish(F.col("language")), looks_spanish(F.col("description")))
+    m = F.col("m")
+    return b.select("record_id", hints.alias("m")).select("record_id", m["title"].alias("title"), m["series"].alias("series"), m["language"].alias("language"), m["description"].alias("description"), m["publisher"].alias("publisher"), m["page_count"].alias("page_count"))
+
+
+def stat_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day and part of the day."""
+    e = read_table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), period_of(F.hour("ts")).alias("period"), "value")
+    return e.groupBy("day", "period").agg(F.count(F.lit(1)).alias("events")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "period", "events")
+
+
+def snap_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When snapshots were made, as uploaded, or a fixed time where that is no time."""
+    at = iso_or_now(F.col("generated_at"), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return read_table(spark, sf_dir, "kindle_days").groupBy("generated_at").agg(F.count(F.lit(1)).alias("days")).select("generated_at", "days", at.alias("at"))
+
+
 _CODE = """CASE trim(regexp_replace(lower({x}), '^/languages/', '')) WHEN 'spa' THEN 'es' WHEN 'spanish' THEN 'es' WHEN 'eng' THEN 'en' WHEN 'english' THEN 'en' WHEN 'fre' THEN 'fr' WHEN 'fra' THEN 'fr' WHEN 'ger' THEN 'de' WHEN 'deu' THEN 'de'
   WHEN 'ita' THEN 'it' WHEN 'por' THEN 'pt' WHEN 'cat' THEN 'ca' WHEN 'glg' THEN 'gl' WHEN 'eus' THEN 'eu'
   ELSE CASE WHEN regexp_matches(trim(regexp_replace(lower({x}), '^/languages/', '')), '^[a-z]{{2}}-') THEN substr(trim(regexp_replace(lower({x}), '^/languages/', '')), 1, 2) ELSE trim(regexp_replace(lower({x}), '^/languages/', '')) END END"""
@@ -116,7 +137,7 @@ _NUMBER = r"nullif(replace(regexp_extract(series_index, '(\d+(?:[.,]\d+)?)', 1),
 _ERRORS = " SELECT {k} AS kind, key, {k} || ': ' || coalesce(name, key) || ': ' || CASE WHEN name IS NULL THEN 'no storable name' ELSE 'not downloaded' END AS error FROM status"
 _COUNTS = "SELECT 'books' AS kind, count(*) AS remote, count(*) FILTER (WHERE status IN ('new', 'updated')) AS downloaded, count(*) FILTER (WHERE status = 'updated') AS updated, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) FILTER (WHERE status = 'failed') AS failed FROM status"
 
-QUERIES = {f.__name__: f for f in (src_volumes, src_works, src_linked_data, src_manifest, src_top_items, cat_object, cat_variant_metadata, sync_errors, sync_all, fn_language_codes, fn_media_types)}
+QUERIES = {f.__name__: f for f in (src_volumes, src_works, src_linked_data, src_manifest, src_top_items, cat_object, cat_variant_metadata, sync_errors, sync_all, fn_language_codes, fn_media_types, src_spanish_hints, stat_periods, snap_generated)}
 ORACLE_SQL = {
     "src_volumes": f"""SELECT record_id, {_clean("title")} AS title, {_clean("author")} AS author, language, {_clean("publisher")} AS publisher, page_count, {_NUMBER} AS series_index,
       len(list_filter(subjects, lambda s: {_clean("s")} IS NOT NULL))::INT AS subjects FROM book_metadata WHERE source = 'google-books'""",
@@ -139,6 +160,13 @@ SELECT record_id, nullif(substr(title, 1, 500), '') AS title, nullif(substr(publ
     "fn_language_codes": f"""
 WITH l AS (SELECT language AS label FROM book_metadata UNION ALL SELECT unnest(language) FROM search_documents UNION ALL SELECT unnest(['glg', '/languages/eus', 'Spanish', 'pt-BR', 'xx']))
 SELECT label, count(*) AS count, {_CODE.format(x="label")} AS code FROM l GROUP BY label""",
+    "src_spanish_hints": f"""
+WITH b AS (SELECT *, coalesce(trim(regexp_replace(lower(language), '^/languages/', '')) IN ('es', 'es-es', 'spa'), false) AS spanish FROM book_metadata WHERE source = 'epub')
+SELECT record_id, title, series, 'es' AS language, CASE WHEN {_marks("description", MARKERS, 3)} THEN description END AS description, CASE WHEN spanish THEN publisher END AS publisher, CASE WHEN spanish THEN page_count END AS page_count FROM b""",
+    "stat_periods": """
+SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN hour(ts) BETWEEN 6 AND 12 THEN 'morning' WHEN hour(ts) BETWEEN 13 AND 20 THEN 'afternoon' ELSE 'night' END AS period, count(*) AS events FROM events GROUP BY 1, 2""",
+    "snap_generated": """
+SELECT generated_at, count(*) AS days, coalesce(strftime(try_cast(generated_at AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%gZ'), '2026-01-01T00:00:00.000Z') AS at FROM kindle_days GROUP BY 1""",
     "fn_media_types": """
 WITH e AS (SELECT record_id, CASE record_id % 5 WHEN 0 THEN 'jpg' WHEN 1 THEN 'webp' WHEN 3 THEN 'jpg' ELSE CASE WHEN record_id % 3 = 0 THEN 'png' ELSE 'jpg' END END AS extension FROM book_metadata)
 SELECT record_id, extension, CASE extension WHEN 'jpg' THEN 'image/jpeg' ELSE 'image/' || extension END AS media_type FROM e""",

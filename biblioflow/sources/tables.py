@@ -1,4 +1,4 @@
-"""Parquet tables and the session settings every query relies on."""
+"""Parquet tables."""
 
 from __future__ import annotations
 
@@ -8,8 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a scale directory; only the columns a query selects are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    """The session's shuffle width, which the caller sizes to the input."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from biblioflow.sources.shared import checkpointed
+
 MOST_ATTEMPTS = 3
 BACK_OFF = 10  # seconds, times the attempt
 
@@ -37,6 +39,30 @@ def consume(spark: SparkSession, source: str, schema: str, checkpoint: str, hand
     return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def consume_with_retries(spark: SparkSession, source: str, schema: str, checkpoint: str, handle: Callable[[DataFrame], DataFrame], store: str, dead: str, key: str) -> StreamingQuery:
+    """`consume` of jobs that may fail: `schema` has attempts INT, and `handle` adds ok BOOLEAN to the jobs of a batch.
+
+    Done jobs go to `store`; failed ones are written back into `source` with their attempts and not_before TIMESTAMP
+    (which `schema` has too), until the last attempt puts them into `dead`. A job that isn't due yet is written back
+    as it is. Each run of the stream takes the files that are there when it starts, so a retry waits for a later run.
+    """
+    jobs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(source)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        due = F.coalesce(F.col("not_before") <= F.current_timestamp(), F.lit(True))
+        judged = checkpointed(after_attempt(handle(rows.where(due)), "ok"))  # `handle` acts once, whatever is written of it
+        done = judged.where("state = 'done'").dropDuplicates([key])
+        earlier = _stored(rows.sparkSession, store, number, done.schema)
+        done.join(earlier.select(key), key, "left_anti").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        judged.where("state = 'dead'").write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        later = F.current_timestamp() + F.make_dt_interval(secs=F.col("delay"))
+        again = judged.where("state = 'retry'").withColumn("not_before", later).select(rows.columns).unionByName(rows.where(~due))
+        if not again.isEmpty():
+            again.coalesce(1).write.mode("overwrite").json(f"{source}/again-{number}")
+
+    return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _stored(spark: SparkSession, store: str, before: int, schema) -> DataFrame:
     """Rows of earlier batches."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)

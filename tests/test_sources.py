@@ -87,6 +87,18 @@ def test_queue_replay(spark, tmp_path):
     assert [k for k, _ in read()] == ["a", "b", "c"]
 
 
+def test_retries_and_dead_letters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BACK_OFF", 0)
+    source, store, dead = tmp_path / "in", tmp_path / "store", tmp_path / "dead"
+    source.mkdir()
+    (source / "0.json").write_text("\n".join(json.dumps({"k": k}) for k in ("good", "late", "bad")) + "\n" + json.dumps({"k": "future", "not_before": "2999-01-01T00:00:00Z"}))
+    ok = F.when(F.col("k") == "late", F.coalesce("attempts", F.lit(0)) >= 1).when(F.col("k") == "bad", F.lit(None)).otherwise(F.lit(True))
+    for _ in range(3):
+        jobs.consume_with_retries(spark, str(source), "k string, attempts int, not_before timestamp", str(tmp_path / "check"), lambda d: d.withColumn("ok", ok), str(store), str(dead), "k").awaitTermination()
+    assert sorted((r.k, r.attempts) for r in spark.read.parquet(str(store)).collect()) == [("good", 1), ("late", 2)]
+    assert [(r.k, r.attempts) for r in spark.read.parquet(str(dead)).collect()] == [("bad", 3)]
+
+
 def test_recomputed(spark, tmp_path):
     log, out = str(tmp_path / "log"), str(tmp_path / "snapshot")
     for n in (3, 4):
