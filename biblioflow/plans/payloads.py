@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from biblioflow.functions.dates import iso_or_now, period_of
 from biblioflow.functions.language import MARKERS, is_spanish, language_code, looks_spanish
+from biblioflow.functions.markup import links, package_metadata, package_path
 from biblioflow.functions.media import extension_of, media_type_of
 from biblioflow.operators import catalogue, sync
 from biblioflow.plans.catalogue import _LISTING, listing, sync_status
@@ -118,6 +119,27 @@ def src_spanish_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("record_id", hints.alias("m")).select("record_id", m["title"].alias("title"), m["series"].alias("series"), m["language"].alias("language"), m["description"].alias("description"), m["publisher"].alias("publisher"), m["page_count"].alias("page_count"))
 
 
+def src_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package documents of e-books, as their container names them, mapped to book metadata."""
+    text = lambda name, c: F.coalesce(F.concat(F.lit(f"<dc:{name}>"), catalogue.xml_escape(c), F.lit(f"</dc:{name}>")), F.lit(""))
+    meta = lambda name, c: F.coalesce(F.concat(F.lit('<meta content="'), catalogue.xml_escape(c), F.lit(f'" name="{name}"/>')), F.lit(""))
+    subjects = F.array_join(F.transform(F.coalesce("subjects", F.array().cast("array<string>")), lambda s: text("subject", s)), "")
+    parts = [text("title", F.col("title")), text("creator", F.col("author")), text("language", F.col("language")), text("publisher", F.col("publisher")), text("identifier", F.col("isbn")), subjects]
+    parts += [meta("page_count", F.col("page_count").cast("string")), meta("calibre:series", F.col("series")), meta("calibre:series_index", F.col("series_index"))]
+    container = F.concat(F.lit('<container><rootfiles><rootfile media-type="x" full-path="OEBPS/'), "source_hash", F.lit('.opf"/></rootfiles></container>'))
+    m, opf = F.col("m"), F.concat(F.lit("<package><metadata>"), *parts, F.lit("</metadata></package>"))
+    rows = _books(spark, sf_dir, "epub").select("record_id", package_path(container).alias("path"), package_metadata(opf, YEAR).alias("m"))
+    return rows.select("record_id", "path", m["title"].alias("title"), m["author"].alias("author"), m["language"].alias("language"), m["publisher"].alias("publisher"), m["page_count"].alias("page_count"), m["series"].alias("series"), F.size(m["subjects"]).alias("subjects"))
+
+
+def src_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two different addresses of works that a page of a search record links to."""
+    key = F.col("doc_key")
+    parts = ['<a href="/about#top"><a class="x" href="', key, "\">x</a><A HREF='", key, "'><a href=\"/authors/OL1A\"><a href=\"", key, '/editions"><a href="', key, '/lists">']
+    html = F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    return read_table(spark, sf_dir, "search_documents").select("search_id", F.array_join(links(html, r"/?works/"), "|").alias("links"))
+
+
 def stat_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and part of the day."""
     e = read_table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), period_of(F.hour("ts")).alias("period"), "value")
@@ -137,7 +159,7 @@ _NUMBER = r"nullif(replace(regexp_extract(series_index, '(\d+(?:[.,]\d+)?)', 1),
 _ERRORS = " SELECT {k} AS kind, key, {k} || ': ' || coalesce(name, key) || ': ' || CASE WHEN name IS NULL THEN 'no storable name' ELSE 'not downloaded' END AS error FROM status"
 _COUNTS = "SELECT 'books' AS kind, count(*) AS remote, count(*) FILTER (WHERE status IN ('new', 'updated')) AS downloaded, count(*) FILTER (WHERE status = 'updated') AS updated, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) FILTER (WHERE status = 'failed') AS failed FROM status"
 
-QUERIES = {f.__name__: f for f in (src_volumes, src_works, src_linked_data, src_manifest, src_top_items, cat_object, cat_variant_metadata, sync_errors, sync_all, fn_language_codes, fn_media_types, src_spanish_hints, stat_periods, snap_generated)}
+QUERIES = {f.__name__: f for f in (src_volumes, src_works, src_linked_data, src_manifest, src_top_items, cat_object, cat_variant_metadata, sync_errors, sync_all, fn_language_codes, fn_media_types, src_packages, src_links, src_spanish_hints, stat_periods, snap_generated)}
 ORACLE_SQL = {
     "src_volumes": f"""SELECT record_id, {_clean("title")} AS title, {_clean("author")} AS author, language, {_clean("publisher")} AS publisher, page_count, {_NUMBER} AS series_index,
       len(list_filter(subjects, lambda s: {_clean("s")} IS NOT NULL))::INT AS subjects FROM book_metadata WHERE source = 'google-books'""",
@@ -160,6 +182,10 @@ SELECT record_id, nullif(substr(title, 1, 500), '') AS title, nullif(substr(publ
     "fn_language_codes": f"""
 WITH l AS (SELECT language AS label FROM book_metadata UNION ALL SELECT unnest(language) FROM search_documents UNION ALL SELECT unnest(['glg', '/languages/eus', 'Spanish', 'pt-BR', 'xx']))
 SELECT label, count(*) AS count, {_CODE.format(x="label")} AS code FROM l GROUP BY label""",
+    "src_packages": f"""
+SELECT record_id, 'OEBPS/' || source_hash || '.opf' AS path, {_clean("title")} AS title, {_clean("author")} AS author, {_clean("language")} AS language, {_clean("publisher")} AS publisher, CASE WHEN page_count > 0 AND isfinite(page_count) THEN page_count END AS page_count,
+  {_clean("series")} AS series, coalesce(len(list_filter(subjects, lambda s: {_clean("s")} IS NOT NULL)), 0)::INT AS subjects FROM book_metadata WHERE source = 'epub'""",
+    "src_links": "SELECT search_id, CASE WHEN doc_key IS NOT NULL THEN CASE WHEN regexp_matches(doc_key, '/?works/') THEN doc_key || '|' || doc_key || '/editions' ELSE '' END END AS links FROM search_documents",
     "src_spanish_hints": f"""
 WITH b AS (SELECT *, coalesce(trim(regexp_replace(lower(language), '^/languages/', '')) IN ('es', 'es-es', 'spa'), false) AS spanish FROM book_metadata WHERE source = 'epub')
 SELECT record_id, title, series, 'es' AS language, CASE WHEN {_marks("description", MARKERS, 3)} THEN description END AS description, CASE WHEN spanish THEN publisher END AS publisher, CASE WHEN spanish THEN page_count END AS page_count FROM b""",
