@@ -87,17 +87,18 @@ _of_jvm: dict[int, Letters] = {}
 def look_alike_letters(spark: SparkSession) -> Letters:
     """`chosen_letters` of the whole table of Unicode Technical Standard 39, as the ICU library among Spark's own jars has it.
 
-    Its size is that of the standard, whatever the data. Without that library (another Spark) there are only the fixed letters.
+    Its size is that of the standard, whatever the data. Without that library (another Spark, a session without a JVM) it is
+    an error: with the fixed letters alone, texts would be missed and nothing would show it.
     """
     jvm = getattr(spark, "_jvm", None)
     if jvm is None:
-        return ()
+        raise RuntimeError("the table of look-alike letters is read through the session's JVM, and this session has none")
     if id(jvm) not in _of_jvm:
         letters = [ch for cp in range(sys.maxunicode + 1) if unicodedata.category(ch := chr(cp))[0] == "L"]
         try:
             whole = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters))
-        except (Py4JError, TypeError):
-            whole = "\n".join(letters)
+        except (Py4JError, TypeError) as e:
+            raise RuntimeError("the table of look-alike letters can't be read: the ICU library (com.ibm.icu) among Spark's jars is missing or fails") from e
         _of_jvm[id(jvm)] = chosen_letters(dict(zip(letters, whole.split("\n"), strict=True)))
     return _of_jvm[id(jvm)]
 

@@ -1,3 +1,8 @@
+from types import SimpleNamespace
+
+import pytest
+from py4j.protocol import Py4JError
+
 from biblioflow.llm.visible import consistent_form, look_alike_classes, look_alike_letters, look_alike_pairs, skeleton
 
 SAME = ["Café sol", "Ｃａｆé sol", "Café sol", "Cаfé sоl", "Ca​fé­sol".replace("­", " "), "Café sol", "Café s­ol"]
@@ -33,3 +38,16 @@ def test_public_table(spark):
     for a, b in ("Il", "l1", "O0", ("rn", "m"), ("–", "-"), ("“", '"'), ("б", "6"), ("æ", "ae"), ("в", "B"), ("к", "k"), ("é", "e")):
         assert skeleton(a, letters) != skeleton(b, letters)
     assert 300 < len(letters) < 5000 and skeleton("Γ", letters) == "Γ"
+
+
+def test_missing_table_is_an_error():
+    """Without the public table there is no result instead of a smaller one."""
+
+    def fails():
+        raise Py4JError("no ICU")
+
+    package = SimpleNamespace(text=SimpleNamespace(SpoofChecker=SimpleNamespace(Builder=fails)))
+    absent = SimpleNamespace(text=SimpleNamespace(SpoofChecker=SimpleNamespace(Builder=None)))  # not callable, as py4j has a class that isn't there
+    for jvm in (None, *(SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=x))) for x in (package, absent))):
+        with pytest.raises(RuntimeError, match="look-alike letters"):
+            look_alike_letters(SimpleNamespace(_jvm=jvm))
